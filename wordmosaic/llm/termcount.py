@@ -33,7 +33,7 @@ HOT_SUFFIXES = 200_000
 
 def suffixes(records: DataFrame, terms: str, longest: int) -> DataFrame:
     """``(suffix, n, opened)``: distinct cut suffixes with occurrences and, per length, records first opened."""
-    cut = F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.slice("t", i, longest))
+    cut = F.transform("t", lambda _, i: F.slice("t", i + 1, longest))
     ordered = F.array_sort(cut)
 
     def shared(a, b):  # length of the common start of two cut suffixes
