@@ -21,6 +21,8 @@ SEED = 41
 PROBES = 2
 #: What the packed distance may exceed the limit by to be looked at exactly.
 SLACK = 0.012
+#: Ids up to which the list of wanted vectors is broadcast (8 bytes each); beyond it, it is joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 #: Nearest candidates kept per vector and bucket; the exact five nearest are among them.
 CANDIDATES = 16
 
@@ -66,9 +68,12 @@ def _exact_pass(d: int):
 
 def exact_vectors(tables: list[DataFrame], wanted: DataFrame, d: int = DIM) -> DataFrame:
     """``(tbl, id, v)``: the exact usable vectors of the ``wanted (tbl, id)``, one per id."""
+    wanted = written(wanted, "wanted")
+    small = wanted.count() <= MAX_BROADCAST_IDS
     parts = []
     for k, t in enumerate(tables):
         own = wanted.filter(F.col("tbl") == k).select("id")
+        own = F.broadcast(own) if small else own
         rows = t.select(F.lit(k).cast("byte").alias("tbl"), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), "kind")
         parts.append(rows.join(own, "id", "left_semi").select("tbl", "id", "vec", "kind").mapInArrow(_exact_pass(d), "tbl byte, id long, v array<double>"))
     rows = parts[0]
