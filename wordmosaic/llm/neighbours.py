@@ -18,7 +18,7 @@ from wordmosaic.session import written
 
 SEED = 41
 #: Cells a vector enters, and buckets inside a cell, by the nearest axes.
-PROBES = 2
+PROBES = 3
 #: What the packed distance may exceed the limit by to be looked at exactly.
 SLACK = 0.012
 #: Ids up to which the list of wanted vectors is broadcast (8 bytes each); beyond it, it is joined by a shuffle.
