@@ -94,8 +94,12 @@ def _verify(model: str, threshold: float, max_trials: int, seed: int):
 
 
 def with_keypoints(matched: DataFrame, keypoints: DataFrame) -> DataFrame:
-    """``matched`` with ``xa, ya, xb, yb`` of ``keypoints (image_name, idx, x, y)``."""
-    k = keypoints.select("image_name", "idx", "x", "y")
+    """``matched`` with ``xa, ya, xb, yb`` of ``keypoints (image_name, idx, x, y)``.
+
+    A match with a keypoint that is null, NaN or infinite has no place and is left out.
+    """
+    finite = lambda c: F.abs(F.col(c)) < float("inf")  # noqa: E731 - false for NaN, which Spark orders last
+    k = keypoints.select("image_name", "idx", "x", "y").filter(finite("x") & finite("y"))
     a = k.select(F.col("image_name").alias("a"), F.col("idx").alias("query_idx"), F.col("x").alias("xa"), F.col("y").alias("ya"))
     b = k.select(F.col("image_name").alias("b"), F.col("idx").alias("train_idx"), F.col("x").alias("xb"), F.col("y").alias("yb"))
     return matched.join(a, ["a", "query_idx"]).join(b, ["b", "train_idx"])
