@@ -17,8 +17,9 @@ def total(v: Column) -> Column:
 
 def root_vector(v: Column) -> Column:
     """Root form of a vector of counts: ``sqrt(d / (|d|_1 + eps))`` entry by entry."""
-    size = total(F.transform(v, lambda x: F.abs(x.cast("double")))) + F.lit(EPS)
-    return F.transform(v, lambda x: F.sqrt(x.cast("double") / size))
+    size = F.aggregate(v, F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))) + F.lit(EPS)
+    # Bound as the one entry of an array: inside the inner function it would be summed up again for each entry.
+    return F.transform(F.array(size), lambda s: F.transform(v, lambda x: F.sqrt(x.cast("double") / s)))[0]
 
 
 def is_usable(v: Column, dim: int = 128) -> Column:
