@@ -83,16 +83,16 @@ _SCORED = """SELECT a, b, o / (len(x.words) + len(y.words) - o)::DOUBLE AS sim
 
 
 def _kmeans(n: int) -> str:
-    parts = [f"c0 AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INTEGER AS cid, q AS c FROM (SELECT * FROM p ORDER BY vec_id LIMIT {KMEANS_K}))"]
+    parts = [f"c0 AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INTEGER AS cid, q::DOUBLE[] AS c FROM (SELECT * FROM p ORDER BY vec_id LIMIT {KMEANS_K}))"]
     for t in range(n + 1):
-        parts.append(f"a{t} AS (SELECT vec_id, arg_min(cid, {{'d': array_distance(q, c), 'c': cid}}) AS cid FROM p, c{t} GROUP BY vec_id)")
-        parts.append(f"m{t} AS (SELECT cid, k, floor(sum(x) / count(*)) AS x FROM (SELECT cid, unnest(q::DOUBLE[]) AS x, unnest(range(128)) AS k FROM p JOIN a{t} USING (vec_id)) GROUP BY cid, k)")
-        parts.append(f"c{t + 1} AS (SELECT o.cid, coalesce(n.c, o.c) AS c FROM c{t} o LEFT JOIN (SELECT cid, list(x ORDER BY k)::DOUBLE[128] AS c FROM m{t} GROUP BY cid) n USING (cid))")
+        parts.append(f"a{t} AS MATERIALIZED (SELECT vec_id, arg_min(cid, {{'d': array_distance(q, c::DOUBLE[128]), 'c': cid}}) AS cid FROM p, c{t} GROUP BY vec_id)")
+        parts.append(f"m{t} AS MATERIALIZED (SELECT cid, k, floor(sum(x) / count(*)) AS x FROM (SELECT cid, unnest(q::DOUBLE[]) AS x, unnest(range(128)) AS k FROM p JOIN a{t} USING (vec_id)) GROUP BY cid, k)")
+        parts.append(f"c{t + 1} AS MATERIALIZED (SELECT o.cid, coalesce(n.c, o.c) AS c FROM c{t} o LEFT JOIN (SELECT cid, list(x ORDER BY k) AS c FROM m{t} GROUP BY cid) n USING (cid))")
     return ", ".join(parts)
 
 
 def _center_rows(c: str) -> str:
-    return f"SELECT cid, unnest(range(128))::INTEGER AS k, unnest(c::DOUBLE[]) AS x FROM {c}"
+    return f"SELECT cid, unnest(range(128))::INTEGER AS k, unnest(c) AS x FROM {c}"
 
 
 SAMPLED = f"sampled AS (SELECT vec_id, q FROM v ORDER BY md5(vec_id::VARCHAR || '|0'), vec_id LIMIT {SAMPLE})"
@@ -101,13 +101,13 @@ SAMPLED = f"sampled AS (SELECT vec_id, q FROM v ORDER BY md5(vec_id::VARCHAR ||
 def _codebook() -> str:
     parts = [
         "sub AS (SELECT vec_id, m, q[m * 16 + 1 : m * 16 + 16]::DOUBLE[16] AS u FROM sampled, range(8) t(m))",
-        f"b0 AS (SELECT m, (row_number() OVER (PARTITION BY m ORDER BY vec_id) - 1)::INTEGER AS code, u AS c FROM sub QUALIFY row_number() OVER (PARTITION BY m ORDER BY vec_id) <= {PQ_CODES})",
+        f"b0 AS (SELECT m, (row_number() OVER (PARTITION BY m ORDER BY vec_id) - 1)::INTEGER AS code, u::DOUBLE[] AS c FROM sub QUALIFY row_number() OVER (PARTITION BY m ORDER BY vec_id) <= {PQ_CODES})",
     ]
     for t in range(PQ_ITERS):
-        parts.append(f"ba{t} AS (SELECT m, vec_id, arg_min(code, {{'d': array_distance(u, c), 'c': code}}) AS code FROM sub JOIN b{t} USING (m) GROUP BY m, vec_id)")
-        parts.append(f"bm{t} AS (SELECT m, code, k, floor(sum(x) / count(*)) AS x FROM (SELECT m, code, unnest(u::DOUBLE[]) AS x, unnest(range(16)) AS k FROM sub JOIN ba{t} USING (m, vec_id)) GROUP BY m, code, k)")
-        parts.append(f"b{t + 1} AS (SELECT o.m, o.code, coalesce(n.c, o.c) AS c FROM b{t} o LEFT JOIN (SELECT m, code, list(x ORDER BY k)::DOUBLE[16] AS c FROM bm{t} GROUP BY m, code) n USING (m, code))")
-    parts.append(f"book AS (SELECT m::INTEGER AS m, code, c FROM b{PQ_ITERS})")
+        parts.append(f"ba{t} AS (SELECT m, vec_id, arg_min(code, {{'d': array_distance(u, c::DOUBLE[16]), 'c': code}}) AS code FROM sub JOIN b{t} USING (m) GROUP BY m, vec_id)")
+        parts.append(f"bm{t} AS MATERIALIZED (SELECT m, code, k, floor(sum(x) / count(*)) AS x FROM (SELECT m, code, unnest(u::DOUBLE[]) AS x, unnest(range(16)) AS k FROM sub JOIN ba{t} USING (m, vec_id)) GROUP BY m, code, k)")
+        parts.append(f"b{t + 1} AS MATERIALIZED (SELECT o.m, o.code, coalesce(n.c, o.c) AS c FROM b{t} o LEFT JOIN (SELECT m, code, list(x ORDER BY k) AS c FROM bm{t} GROUP BY m, code) n USING (m, code))")
+    parts.append(f"book AS (SELECT m::INTEGER AS m, code, c::DOUBLE[16] AS c FROM b{PQ_ITERS})")
     return ", ".join(parts)
 
 
