@@ -49,7 +49,7 @@ def class_members(sets: DataFrame, classes: DataFrame) -> DataFrame:
 
     A set delivered by a third of all images would be one hot key: it is spread.
     """
-    key = F.md5(F.array_join(F.col("words").cast("array<string>"), ","))
+    key = F.xxhash64("words")  # equal keys of different sets are told apart below
     several = classes.filter("copies > 1").select(key.alias("_k"), F.col("words").alias("_w"), "cid")
     if several.isEmpty():
         return classes.select("cid", F.col("rep").alias("image_name"), "in_main")
@@ -92,7 +92,7 @@ def prefix_index(classes: DataFrame, theta: float, extra: int = MEETINGS, max_de
     as an array, and the prefixes are cut in one narrow pass. Beyond it, ranks are joined.
     """
     spark = classes.sparkSession
-    counts = token_counts(classes)
+    counts = written(token_counts(classes), "counts")
     low, high, many = counts.agg(F.min("token"), F.max("token"), F.count(F.lit(1))).first()
     if low is not None and low >= 0 and high < max_dense:
         table = counts.toArrow()
@@ -149,11 +149,11 @@ def verified_pairs(candidates: DataFrame, classes: DataFrame, theta: float) -> D
 
 
 def as_sets(main: DataFrame, other: DataFrame | None = None, vocabulary: int = VOCABULARY) -> DataFrame:
-    """``(image_name, words, in_main)``: sets of valid words; images without one are left out."""
+    """``(image_name, words, in_main)``: sets of valid words, written once; images without one are left out."""
     def one(bow: DataFrame, flag: bool) -> DataFrame:
         return delivered_once(bow, vocabulary).select("image_name", F.array_distinct("words").alias("words"), F.lit(flag).alias("in_main")).filter(F.size("words") > 0)
 
-    return one(main, True) if other is None else one(main, True).unionAll(one(other, False))
+    return written(one(main, True) if other is None else one(main, True).unionAll(one(other, False)), "sets")
 
 
 def class_pairs(main: DataFrame, other: DataFrame | None, theta: float, vocabulary: int = VOCABULARY) -> tuple[DataFrame, DataFrame, DataFrame]:
