@@ -28,6 +28,8 @@ from wordmosaic.session import written
 DIM = 128
 #: Rows of a cell above which it is cut into cells of its own.
 CELL_ROWS = 120_000
+#: Cells to cut up to which their list is broadcast and their means pass the driver (512 bytes each).
+MAX_CUT_CELLS = 20_000
 #: Exact copies of one vector beyond this many stand aside: they are near their ``KEPT`` smallest ids.
 MANY_COPIES = 16
 KEPT = 6
@@ -181,7 +183,17 @@ def copy_groups(rows: DataFrame, many: int = MANY_COPIES, kept: int = KEPT) -> t
     return stay, aside
 
 
-def _mean_pass(hot: set):
+def cell_means(inside: DataFrame) -> dict[tuple, np.ndarray]:
+    """The mean vector of each cell, from one sum per cell and task."""
+    sums: dict[tuple, tuple] = {}
+    parts = inside.select("tbl", "cell", "q", "scale").mapInArrow(_mean_pass(), "tbl byte, cell long, n long, total array<double>")
+    for r in parts.collect():
+        n, total = sums.get((r["tbl"], r["cell"]), (0, 0))
+        sums[r["tbl"], r["cell"]] = (n + r["n"], total + np.array(r["total"]))
+    return {k: (t / n).astype(np.float32) for k, (n, t) in sums.items()}
+
+
+def _mean_pass():
     out = pa.schema([("tbl", pa.int8()), ("cell", pa.int64()), ("n", pa.int64()), ("total", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,12 +211,12 @@ def _mean_pass(hot: set):
     return run
 
 
-def _cut_pass(means: dict, probes: int, seed: int):
+def _cut_pass(means: dict | None, probes: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = unpacked(batch.column(3), batch.column(4).to_numpy())
             tbl, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            centred = x - np.array([means[(int(t), int(c))] for t, c in zip(tbl, cell, strict=True)], np.float32).reshape(len(x), -1)
+            centred = uncommon(x) if means is None else x - np.array([means[(int(t), int(c))] for t, c in zip(tbl, cell, strict=True)], np.float32).reshape(len(x), -1)
             axes = nearest_axes(centred, seed, probes).astype(np.int64)
             new = (cell[:, None] + 1) * 1_000 + axes
             rows = np.repeat(np.arange(len(x)), probes)
@@ -218,25 +230,21 @@ def placed_rows(rows: DataFrame, probes: int, seed: int, cell_rows: int = CELL_R
     """``(tbl, cell, id, q, scale)``: each vector in its cells; cells of more than ``cell_rows`` rows are cut again.
 
     Cutting turns a cell's vectors around its own mean, so that a dense cluster spreads over
-    all axes. The means of the cells to cut, fewer than rows / ``cell_rows``, pass the driver.
+    all axes. Of more than ``MAX_CUT_CELLS`` cells to cut nothing passes the driver: they are
+    turned around the common direction instead, and their list is joined.
     """
     placed = rows.select("tbl", F.explode("cells").alias("cell"), "id", "q", "scale")
     done: list[DataFrame] = []
     for depth in range(1, 5):
-        counts = placed.groupBy("tbl", "cell").count().filter(F.col("count") > cell_rows).select("tbl", "cell")
-        hot = {(r[0], r[1]) for r in counts.collect()}
-        if not hot:
+        hot = written(placed.groupBy("tbl", "cell").count().filter(F.col("count") > cell_rows).select("tbl", "cell"), "hot")
+        n = hot.count()
+        if not n:
             break
-        listed = placed.sparkSession.createDataFrame(sorted(hot), "tbl byte, cell long")
-        done.append(placed.join(F.broadcast(listed), ["tbl", "cell"], "left_anti"))
-        inside = placed.join(F.broadcast(listed), ["tbl", "cell"], "left_semi").select("tbl", "cell", "id", "q", "scale")
-        parts = inside.select("tbl", "cell", "q", "scale").mapInArrow(_mean_pass(hot), "tbl byte, cell long, n long, total array<double>")
-        sums: dict[tuple, list] = {}
-        for r in parts.collect():
-            key = (r["tbl"], r["cell"])
-            n, total = sums.get(key, (0, 0))
-            sums[key] = (n + r["n"], total + np.array(r["total"]))
-        means = {k: (t / n).astype(np.float32) for k, (n, t) in sums.items()}
+        few = n <= MAX_CUT_CELLS
+        listed = F.broadcast(hot) if few else hot
+        done.append(placed.join(listed, ["tbl", "cell"], "left_anti"))
+        inside = placed.join(listed, ["tbl", "cell"], "left_semi").select("tbl", "cell", "id", "q", "scale")
+        means = cell_means(inside) if few else None
         placed = inside.mapInArrow(_cut_pass(means, max(3, probes), seed + 1_000 * depth), "tbl byte, cell long, id long, q binary, scale float")
         placed = written(placed, "cut")
     for d in done:
