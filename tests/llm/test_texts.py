@@ -148,7 +148,7 @@ It should not be confused with the polymer of the same name. A picture of a sona
 
 
 def test_matches_are_longest_and_on_bounds():
-    words = subjects.lexicon(str(subjects.TERMS))
+    words = subjects.lexicon(subjects.listing())
     names = lambda parts: [(s, words.terms[t]) for s, t in words.matches(parts)]
     assert names(["The Tennis Court and the appeal courts.", "A rewarding wardrobe."]) == [(0, "tennis court"), (0, "appeal court")]
     assert names(["Kelor Brines kept brines."]) == [(0, "brine")]

@@ -89,9 +89,8 @@ def sentences(text: str | None) -> list[str]:
 class Lexicon:
     """The subject terms as one automaton over their written forms."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            listed = json.load(f)
+    def __init__(self, listing: str) -> None:
+        listed = json.loads(listing)
         self.subjects = sorted(listed)
         self.terms: list[str] = []
         self.of_term: list[list[int]] = []
@@ -144,27 +143,32 @@ class Lexicon:
 
 
 @lru_cache(maxsize=4)
-def lexicon(path: str) -> Lexicon:
-    return Lexicon(path)
+def lexicon(listing: str) -> Lexicon:
+    return Lexicon(listing)
 
 
-def _match_pass(path: str):
+def listing(path: str = str(TERMS)) -> str:
+    """The term list as text: it travels with the functions, so workers need no file."""
+    return Path(path).read_text(encoding="utf-8")
+
+
+def _match_pass(terms: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = lexicon(path)
+        words = lexicon(terms)
         for batch in batches:
-            keys, at, terms = [], [], []
+            keys, at, found_terms = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = words.matches(s) if (s := sentences(text.as_py())) else None
                 if found:
                     keys.append(key)
                     at.append([m[0] for m in found])
-                    terms.append([m[1] for m in found])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.types[0]), pa.array(at, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.int32()))], names=["doc_id", "at", "terms"])
+                    found_terms.append([m[1] for m in found])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.types[0]), pa.array(at, pa.list_(pa.int32())), pa.array(found_terms, pa.list_(pa.int32()))], names=["doc_id", "at", "terms"])
 
     return run
 
 
-def subject_matches(documents: DataFrame, terms: str = str(TERMS)) -> DataFrame:
+def subject_matches(documents: DataFrame, terms: str) -> DataFrame:
     """``(doc_id, at, terms)``: sentence and term numbers of all matches of documents that have any."""
     rows = documents.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -200,9 +204,9 @@ def document_subjects(at: list[int], terms: list[int], of_term: list[list[int]],
     return [*counts, len(scores)]
 
 
-def _share_pass(path: str, weight: list[float]):
+def _share_pass(listed: str, weight: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = lexicon(path)
+        words = lexicon(listed)
         for batch in batches:
             out: list[tuple] = []
             for key, at, terms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -220,10 +224,11 @@ def subject_sentences(documents: DataFrame, terms: str = str(TERMS)) -> DataFram
     Null, empty and blank texts, redirects and texts without subject terms give no row. Rows
     are judged each by its own text, repeated ids too; other columns are ignored.
     """
-    matches = written(subject_matches(documents, terms), "matches")
+    listed = listing(terms)
+    matches = written(subject_matches(documents, listed), "matches")
     kind = matches.schema["doc_id"].dataType.simpleString()
-    weight = term_weights(matches, lexicon(terms))
-    return matches.mapInArrow(_share_pass(terms, weight), f"doc_id {kind}, subject string, sentences long, of long")
+    weight = term_weights(matches, lexicon(listed))
+    return matches.mapInArrow(_share_pass(listed, weight), f"doc_id {kind}, subject string, sentences long, of long")
 
 
 def subject_areas(documents: DataFrame, terms: str = str(TERMS), least_share: int = LEAST_SHARE) -> DataFrame:
