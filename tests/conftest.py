@@ -3,6 +3,8 @@ import os
 import pytest
 from pyspark.sql import SparkSession
 
+from wordmosaic.session import shipped
+
 os.environ.setdefault("OMP_NUM_THREADS", "1")
 TESTDATA = "/root/testdata/sf0.001"
 
@@ -19,6 +21,7 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    shipped(session)
     yield session
     session.stop()
 

@@ -13,6 +13,7 @@ from wordmosaic.operators.minhash import HashFamily
 from wordmosaic.operators.similarity import band_counts, in_band, lowest, most_inliers
 from wordmosaic.plans.config import PairConfig, VocabularyConfig, arguments, config_hash, read_config
 from wordmosaic.plans.stages import stage
+from wordmosaic.session import shipped
 
 
 def similarity_estimation(words: DataFrame, config: PairConfig = PairConfig()) -> DataFrame:  # noqa: B008
@@ -63,6 +64,7 @@ def main() -> None:
     """``python -m wordmosaic.plans.pipeline --config FILE --data FOLDER --out FOLDER``."""
     args = arguments("Similar pairs of images, verified")
     spark = SparkSession.builder.appName("wordmosaic").getOrCreate()
+    shipped(spark)
     for name, table in seed_pairs(spark, args.data, args.out, read_config(args.config, PairConfig)).items():
         if name not in ("pairs", "verified"):
             table.show(truncate=False)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per session, so that they need no installation of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_wordmosaic", None):
+        return
+    own = Path(__file__).parent
+    sc._wordmosaic = f"{tempfile.mkdtemp(prefix='wordmosaic-')}/wordmosaic.zip"
+    with zipfile.ZipFile(sc._wordmosaic, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(own.rglob("*.py")):
+            z.write(file, file.relative_to(own.parent))
+    sc.addPyFile(sc._wordmosaic)
+
+
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: lineage ends here."""
     spark = df.sparkSession
