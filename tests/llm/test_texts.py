@@ -154,6 +154,8 @@ def test_matches_are_longest_and_on_bounds():
     assert names(["Kelor Brines kept brines."]) == [(0, "brine")]
     assert names(["İİ the orchestra"]) == [(0, "orchestra")]
     assert len(words.subjects) == 10
+    assert names(["The goa#keeper left thezshareholdxr."]) == [(0, "goalkeeper"), (0, "shareholder")]
+    assert names(["The goaxkeeper left."]) == []  # no sign of damage: another word
 
 
 def documents(spark, texts):

@@ -32,6 +32,10 @@ TERMS = Path(__file__).with_name("subject_terms.json")
 LEAST_SHARE = 30
 
 REDIRECT = re.compile(r"\s*#\s*(redirect(ion)?|weiterleitung|redirecci[oó]n)\b", re.I)
+#: A text with this beside a letter is damaged: its terms are also found with single letters replaced.
+DAMAGE = re.compile(r"[^\W\d_]#|#[^\W\d_]")
+#: Shortest term looked for in damaged form.
+LEAST_DAMAGED = 8
 #: Sentences about the page itself, of which a damaged copy should still show one part.
 ABOUT_PAGE = re.compile(r"should not be confused with|of the same name|picture of an? |once shown here|shown here by|here by mistake|earlier title|title of this page|of this page was", re.I)
 SPANS = re.compile(r"<!--.*?-->|<(ref|nowiki|math|gallery|pre|code)\b[^<>]*?(?:/>|>.*?</\1\s*>)|\[\[\s*(?:category|kategorie|cat[eé]gorie|categor[ií]a|file|image|datei|fichier|archivo)\s*:[^\[\]]*\]\]", re.I | re.S)
@@ -114,6 +118,28 @@ class Lexicon:
         for form, (t, name) in forms.items():
             self.automaton.add_word(form, (t, len(form), name))
         self.automaton.make_automaton()
+        # A form with k letters replaced keeps one of its k + 1 pieces whole.
+        pieces: dict[str, list[tuple[str, int, int, int]]] = {}
+        for form, (t, _) in forms.items():
+            if len(form) >= LEAST_DAMAGED:
+                n = 2 if len(form) < 14 else 3
+                cuts = [len(form) * k // n for k in range(n + 1)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    pieces.setdefault(form[a:b], []).append((form, t, a, n - 1))
+        self.pieces = ahocorasick.Automaton()
+        for piece, of in pieces.items():
+            self.pieces.add_word(piece, (len(piece), of))
+        self.pieces.make_automaton()
+
+    def damaged(self, low: str) -> list[tuple[int, int, int]]:
+        """Hits ``(start, -length, term)`` of terms with a letter or two replaced."""
+        hits = []
+        for end, (n, of) in self.pieces.iter(low):
+            for form, t, at, most in of:
+                start = end - n + 1 - at
+                if start >= 0 and start + len(form) <= len(low) and sum(a != b for a, b in zip(low[start : start + len(form)], form, strict=True)) <= most:
+                    hits.append((start, -len(form), t))
+        return hits
 
     def matches(self, parts: list[str]) -> list[tuple[int, int]]:
         """``(sentence, term)`` of the longest matches on word bounds that do not overlap."""
@@ -127,6 +153,8 @@ class Lexicon:
             if (start and low[start - 1].isalnum()) or (after < len(low) and low[after].isalnum()) or (name and text[start].isupper()):
                 continue
             hits.append((start, -n, t))
+        if DAMAGE.search(text):
+            hits += self.damaged(low)
         hits.sort()
         found, free, sentence, edge = [], 0, 0, 0
         ends = []
