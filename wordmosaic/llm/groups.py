@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmosaic.functions.names import image_name
-from wordmosaic.session import dropped, hot_join, written
+from wordmosaic.session import HOT_ROWS, dropped, hot_join, hot_keys, written
 
 
 def clean_edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -20,21 +20,21 @@ def clean_edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"), (u.isNull() | v.isNull() | (u == v)).alias("_bad")).filter(~F.col("_bad")).select("u", "v").distinct()
 
 
-def _jumped(labels: DataFrame) -> DataFrame:
-    """``labels(node, label)`` with every label replaced by the root of its chain."""
+def _jumped(labels: DataFrame, **limit: int) -> DataFrame:
+    """``labels(node, label)`` with every label replaced by the root of its chain.
+
+    Each jump doubles the length of the chains looked through; it is written, and the last is the one that moves nothing.
+    """
+    small = labels.count() <= limit.get("hot_rows", HOT_ROWS)  # then no label can be hot
     while True:
-        # Only labels that are themselves labelled lower lead further; each is looked up once.
+        hot = [] if small else hot_keys(labels, "label", **limit)
         step = labels.filter(F.col("label") != F.col("node")).select(F.col("node").alias("label"), F.col("label").alias("next"))
-        used = labels.select("label").distinct().join(step, "label")
-        used = written(used, "jump")
-        if used.isEmpty():
-            dropped(used)
-            return labels
-        after = hot_join(labels, used, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-        after = written(after, "labels")
-        dropped(used)
+        after = hot_join(labels.select("node", "label"), step, "label", "left", hot=hot)
+        after = written(after.select("node", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved")), "labels")
         dropped(labels)
         labels = after
+        if labels.filter("moved").isEmpty():
+            return labels.select("node", "label")
 
 
 def connected_groups(pairs: DataFrame, a: str, b: str, hot_rows: int | None = None) -> DataFrame:
@@ -53,7 +53,7 @@ def connected_groups(pairs: DataFrame, a: str, b: str, hot_rows: int | None = No
     while not edges.isEmpty():
         both = edges.select(F.col("u").alias("node"), F.col("v").alias("near")).unionAll(edges.select(F.col("v").alias("node"), F.col("u").alias("near")))
         lowest = both.groupBy("node").agg(F.min("near").alias("near"))
-        labels = _jumped(written(lowest.select("node", F.least("node", "near").alias("label")), "labels"))
+        labels = _jumped(written(lowest.select("node", F.least("node", "near").alias("label")), "labels"), **limit)
         rounds.append(labels)
         # Contract: ends become roots; edges inside one tree vanish.
         left = hot_join(edges.withColumnRenamed("u", "node"), labels, "node", **limit).select(F.col("label").alias("u"), F.col("v").alias("node"))
