@@ -15,7 +15,7 @@ from wordmosaic.session import shared_dir, written
 from wordmosaic.sources.tables import quantised_centers, read
 from wordmosaic.streaming.sketch_index import SketchIndex
 
-#: The reference's sketch sizes, and a smaller family for the queries that show single steps.
+#: The full sketch sizes, and a smaller family for the queries that show single steps.
 FULL = minhash.HashFamily(512, 512, 3, seed=0)
 STEP = minhash.HashFamily(64, 32, 3, seed=0)
 WEIGHTED_STEP = minhash.HashFamily(16, 8, 3, seed=0)

@@ -71,6 +71,7 @@ class VocabularyConfig:
             raise ValueError(f"clustering_lib {self.clustering_lib!r} is not supported; pqkmeans or kmeans")
 
 
+#: The section names of such files.
 SECTIONS = {PairConfig: "mhic_config", VocabularyConfig: "visual_word_gen_config"}
 
 
