@@ -13,18 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordmosaic.llm.cells import DIM, bucket_distances, bucket_rows, copy_groups, over_cells, packed_vectors, placed_rows, usable
+from wordmosaic.llm.cells import BUCKET_ROWS, DIM, bucket_distances, bucket_rows, copy_groups, over_cells, packed_vectors, placed_rows, usable
 from wordmosaic.session import written
 
 SEED = 41
 #: Cells a vector enters, and buckets inside a cell, by the nearest axes.
 PROBES = 3
-#: What the packed distance may exceed the limit by to be looked at exactly.
-SLACK = 0.012
+#: Bound of the rounding of a squared distance in single precision, as a share of the squared lengths.
+ROUNDING = 1.6e-5
 #: Ids up to which the list of wanted vectors is broadcast (8 bytes each); beyond it, it is joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
-#: Nearest candidates kept per vector and bucket; the exact five nearest are among them.
-CANDIDATES = 16
 
 
 def vector_tables(spark: SparkSession, d: str) -> list[DataFrame]:
@@ -34,16 +32,24 @@ def vector_tables(spark: SparkSession, d: str) -> list[DataFrame]:
     return [descriptors, centers]
 
 
-def _near(limit: float):
+def _near(limit: float, k: int):
+    """All pairs of a bucket that the packing error leaves possible: within ``limit``, one among the ``k`` nearest of the other."""
+
     def work(ids: np.ndarray, x: np.ndarray, seed: int) -> list[np.ndarray]:
         found = []
-        most = (limit + SLACK) ** 2
-        for table in range(2):
-            for rows, cols, dist in bucket_distances(x, bucket_rows(x, seed + table, PROBES)):
-                near = dist <= most
-                if near.sum(axis=2).max(initial=0) > CANDIDATES:
-                    edge = np.partition(dist, CANDIDATES - 1, axis=2)[:, :, CANDIDATES - 1 : CANDIDATES]
-                    near &= dist <= edge
+        # Packing moves an entry by half a scale at most, and the scale is a 127th of the largest entry.
+        moved = (np.abs(x).max(axis=1, initial=0) * (np.sqrt(x.shape[1]) / 254 * 1.001)).astype(np.float32)
+        blur = ROUNDING * np.einsum("ij,ij->i", x, x)
+        whole = len(x) <= BUCKET_ROWS
+        for table in range(1 if whole else 2):
+            for rows, cols, dist in bucket_distances(x, iter([np.arange(len(x))]) if whole else bucket_rows(x, seed + table, PROBES)):
+                error = moved[rows][:, :, None] + moved[cols][:, None, :]
+                noise = blur[rows][:, :, None] + blur[cols][:, None, :]
+                least = np.sqrt(np.maximum(dist - noise, 0)) - error
+                near = least <= limit
+                if near.sum(axis=2).max(initial=0) > k:
+                    most = np.sqrt(np.maximum(dist, 0) + noise) + error
+                    near &= least <= np.partition(most, k - 1, axis=2)[:, :, k - 1 : k]
                 b, r, c = np.nonzero(near)
                 i, j = rows[b, r], cols[b, c]
                 found.append(np.minimum(i, j) * np.int64(len(x)) + np.maximum(i, j))
@@ -108,7 +114,7 @@ def nearest_pairs(tables: list[DataFrame], k: int = 5, limit: float = 0.10) -> D
     """
     rows = packed_vectors(tables, PROBES, SEED)
     stay, aside = copy_groups(rows, kept=k + 1)
-    candidates = over_cells(placed_rows(stay, PROBES, SEED), _near(limit), "id_a long, id_b long").distinct()
+    candidates = over_cells(placed_rows(stay, PROBES, SEED), _near(limit, k), "id_a long, id_b long").distinct()
     candidates = written(candidates, "candidates")
     exact = exact_distances(candidates, tables).filter(F.col("dist") <= limit)
     exact = written(exact, "distances")
