@@ -161,6 +161,31 @@ def collision_pairs(s, d):
     return collisions.similar_pairs(_distinct(s, d), STEP).select("a", "b")
 
 
+def minhash_weighted_full(s, d):
+    bags = _multiset(s, d)
+    return minhash.weighted_signatures(bags, bow.word_weights(bags), FULL).select("image_name", F.posexplode("signature").alias("i", "word"))
+
+
+def sketches_full(s, d):
+    return minhash.sketches(minhash.signatures(_sets(s, d), FULL), FULL)
+
+
+def sketch_bins_full(s, d):
+    return collisions.sketch_bins(sketches_full(s, d))
+
+
+def collision_clusters_full(s, d):
+    return collisions.collision_clusters(written(sketches_full(s, d), "sketches"))
+
+
+def seen_before_full(s, d):
+    return collisions.seen_before(written(sketches_full(s, d), "sketches"))
+
+
+def collision_pairs_full(s, d):
+    return collisions.similar_pairs(_distinct(s, d), FULL).select("a", "b")
+
+
 def similar_pairs(s, d):
     return collisions.similar_pairs(_distinct(s, d), FULL)
 
@@ -320,7 +345,7 @@ def seen_before_stream(s, d):
     source = read(s, d, "bow")
     stream = s.readStream.schema(source.schema).parquet(f"{d}/bow.parquet*")
     bags = stream.select("image_name", F.array_distinct(bow.valid(F.col("words"), VOCABULARY)).alias("words")).filter("image_name is not null and size(words) > 0")
-    index = SketchIndex(folder, STEP)
+    index = SketchIndex(folder, FULL)
     index.start(bags, f"{folder}/checkpoint").awaitTermination()
     return index.seen(s).select("image_name", "seen", F.col("batch").cast("long").alias("batch"))
 
@@ -328,7 +353,8 @@ def seen_before_stream(s, d):
 _STEPS = (
     bow_multiset, bow_set, distinct_sets, set_membership, name_normalise, descriptor_counts, descriptor_totals, positional_assign, name_order_check,
     rootsift_vector, rootsift_matrix, idf_weights, idf_weights_distinct, unused_words, minhash_signature, minhash_weighted, sketches, sketch_bins,
-    collision_clusters, seen_before, collision_pairs, similar_pairs, weighted_similar_pairs, jaccard_of_pairs, pair_bands, pair_band_counts,
+    collision_clusters, seen_before, collision_pairs, minhash_weighted_full, sketches_full, sketch_bins_full, collision_clusters_full, seen_before_full,
+    collision_pairs_full, similar_pairs, weighted_similar_pairs, jaccard_of_pairs, pair_bands, pair_band_counts,
     pairs_in_band, top_pairs_asc, band_sample, top_verified, verified_sorted, verified_page, verified_min_inliers, nearest_center, ann_center,
     kmeans_step, kmeans_3iter, kmeans_unchanged, codebook_sample, pq_train, pq_encode, pq_distance_table, pqkmeans_iter, pq_assign_bow,
     mutual_nn_matches, ratio_test_matches, known_model_inliers, ransac_verify, ransac_affine_top, resize_dims, vocabulary_bags, seen_before_stream,
