@@ -189,7 +189,7 @@ def similar_set_pairs(main: DataFrame, other: DataFrame | None = None, theta: fl
 
 
 def set_classes_with_links(main: DataFrame, other: DataFrame | None = None, theta: float = 0.5) -> DataFrame:
-    """``(image_name, class_name, copies, links)``: one row per image with its class of equal sets.
+    """``(image_name, class_name, copies, links)``: one row per image that has a valid word, with its class of equal sets.
 
     The bounded form of the result: ``links`` counts the other classes similar to the image's own.
     """
@@ -205,5 +205,5 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Every image of ``bow`` and ``ref_bow`` with its class of equal sets and its number of similar classes."""
+    """Every image of ``bow`` and ``ref_bow`` that has a valid word, with its class of equal sets and its number of similar classes."""
     return set_classes_with_links(spark.read.parquet(f"{d}/bow.parquet"), spark.read.parquet(f"{d}/ref_bow.parquet"), 0.5)
