@@ -86,6 +86,18 @@ def test_approximate_center_recall(spark):
     assert np.mean([exact[k] == near[k] for k in exact]) >= 0.9
 
 
+def test_index_beyond_the_broadcast(spark):
+    """Too many centres to broadcast: joined by coarse cell, in pieces and blocks."""
+    rng = np.random.RandomState(14)
+    c, p = center_rows(spark, rng.randint(0, 50, (120, 8)).tolist()), points(spark, rng.randint(0, 50, (90, 8)).tolist())
+    exact = rows(centers.nearest_center(p, c).select("id", "cid", "d2"))
+    every = centers.approximate_nearest_center(p, c, probes=10, max_entries=0, rows=20, block=7)
+    assert rows(every.select("id", "cid", "d2")) == exact
+    some = dict(rows(centers.approximate_nearest_center(p, c, probes=5, max_entries=0).select("id", "cid")))
+    assert len(some) == 90 and np.mean([some[k] == cid for k, cid, _ in exact]) >= 0.8
+    assert rows(centers.approximate_nearest_center(p, c.limit(0))) == []
+
+
 def test_synthetic_and_random(spark):
     assert kmeans.synthetic_points(spark, 5, 8).collect() == kmeans.synthetic_points(spark, 5, 8).collect()
     assert all(0 <= x < 255 for r in kmeans.random_centers(points(spark, [1]), 4, 8).collect() for x in r["center"])
