@@ -13,16 +13,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordmosaic.llm.cells import BUCKET_ROWS, DIM, bucket_distances, bucket_rows, copy_groups, over_cells, packed_vectors, placed_rows, usable
+from wordmosaic.llm.cells import (
+    DIM,
+    MANY_COPIES,
+    axes_plan,
+    copy_groups,
+    in_blocks,
+    over_cells,
+    packed_vectors,
+    placed_rows,
+    set_aside,
+    task_count,
+    usable,
+    without_copies,
+)
+from wordmosaic.llm.common import whole_runs
 from wordmosaic.session import written
 
 SEED = 41
-#: Cells a vector enters, and buckets inside a cell, by the nearest axes.
+#: Cells a vector enters, the likeliest over all rotations together.
 PROBES = 3
+#: Rows for which a cell is laid out.
+CELL_ROWS = 2_048
+#: Rows of a cell up to which all its pairs are compared, in blocks of ``BLOCK_ROWS``; bigger ones are cut around their mean.
+PAIRED_ROWS = 262_144
+BLOCK_ROWS = 16_384
 #: Bound of the rounding of a squared distance in single precision, as a share of the squared lengths.
 ROUNDING = 1.6e-5
 #: Ids up to which the list of wanted vectors is broadcast (8 bytes each); beyond it, it is joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
+#: Rows of which distances to all others of a block are held at a time.
+ROWS_HELD = 512
 
 
 def vector_tables(spark: SparkSession, d: str) -> list[DataFrame]:
@@ -32,98 +53,151 @@ def vector_tables(spark: SparkSession, d: str) -> list[DataFrame]:
     return [descriptors, centers]
 
 
-def _near(limit: float, k: int):
-    """All pairs of a bucket that the packing error leaves possible: within ``limit``, one among the ``k`` nearest of the other."""
+def _slices(own: np.ndarray, blk: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and the rows they are compared with in a task: all with all in one block, else one block with the other."""
+    first = blk == blk.min()
+    sides = [(own, own)] if first.all() else [(own[first], own[~first]), (own[~first], own[first])]
+    for rows, others in sides:
+        for k in range(0, len(rows), ROWS_HELD):
+            yield rows[k : k + ROWS_HELD], others
 
-    def work(ids: np.ndarray, x: np.ndarray, seed: int) -> list[np.ndarray]:
-        found = []
+
+def _active(limit: float):
+    """Ids with another vector that the packing error leaves possible within ``limit``, with their cell and task."""
+
+    def work(data: dict[str, np.ndarray], x: np.ndarray, seed: int) -> list[np.ndarray]:
         # Packing moves an entry by half a scale at most, and the scale is a 127th of the largest entry.
         moved = (np.abs(x).max(axis=1, initial=0) * (np.sqrt(x.shape[1]) / 254 * 1.001)).astype(np.float32)
-        blur = ROUNDING * np.einsum("ij,ij->i", x, x)
-        whole = len(x) <= BUCKET_ROWS
-        for table in range(1 if whole else 2):
-            for rows, cols, dist in bucket_distances(x, iter([np.arange(len(x))]) if whole else bucket_rows(x, seed + table, PROBES)):
-                error = moved[rows][:, :, None] + moved[cols][:, None, :]
-                noise = blur[rows][:, :, None] + blur[cols][:, None, :]
-                least = np.sqrt(np.maximum(dist - noise, 0)) - error
-                near = least <= limit
-                if near.sum(axis=2).max(initial=0) > k:
-                    most = np.sqrt(np.maximum(dist, 0) + noise) + error
-                    near &= least <= np.partition(most, k - 1, axis=2)[:, :, k - 1 : k]
-                b, r, c = np.nonzero(near)
-                i, j = rows[b, r], cols[b, c]
-                found.append(np.minimum(i, j) * np.int64(len(x)) + np.maximum(i, j))
-        both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        n = max(len(x), 1)
-        return [ids[both // n], ids[both % n]]
+        sq = np.einsum("ij,ij->i", x, x)
+        near = np.zeros(len(x), bool)
+        for rows, others in _slices(np.arange(len(x)), data["blk"]):
+            most = (limit + moved[rows][:, None] + moved[others][None]) ** 2 + ROUNDING * (sq[rows][:, None] + sq[others][None])
+            close = sq[rows][:, None] + sq[others][None] - 2 * x[rows] @ x[others].T <= most
+            close &= rows[:, None] != others[None]
+            near[rows] |= close.any(axis=1)
+        return [data[c][near] for c in ("id", "cell", "task", "blk")]
 
     return work
 
 
 def _exact_pass(d: int):
+    """Usable vectors as bytes: single precision where that is exact, else double; root values in double precision."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, x = usable(batch.column(2), batch.column(3), d)
-            x = x.astype(np.float64)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, d, dtype=np.int32)), pa.array(x.ravel()))
+            short = (x.astype(np.float32) == x).all(axis=1)
+            v = [r.astype(np.float32).tobytes() if s else r.astype(np.float64).tobytes() for r, s in zip(x, short, strict=True)]
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), flat], names=["tbl", "id", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(v, pa.binary())], names=["tbl", "id", "v"])
 
     return run
 
 
+def as_doubles(v: list[bytes], d: int) -> np.ndarray:
+    x = np.empty((len(v), d))
+    for k, b in enumerate(v):
+        x[k] = np.frombuffer(b, np.float32 if len(b) == 4 * d else np.float64)
+    return x
+
+
 def exact_vectors(tables: list[DataFrame], wanted: DataFrame, d: int = DIM) -> DataFrame:
-    """``(tbl, id, v)``: the exact usable vectors of the ``wanted (tbl, id)``, one per id."""
+    """``(tbl, id, v)``: the exact usable vectors of the ``wanted (tbl, id)`` as bytes, one per id.
+
+    A null entry makes a vector unusable (it reads as NaN).
+    """
     wanted = written(wanted, "wanted")
     small = wanted.count() <= MAX_BROADCAST_IDS
     parts = []
     for k, t in enumerate(tables):
         own = wanted.filter(F.col("tbl") == k).select("id")
         own = F.broadcast(own) if small else own
-        rows = t.select(F.lit(k).cast("byte").alias("tbl"), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), "kind")
-        parts.append(rows.join(own, "id", "left_semi").select("tbl", "id", "vec", "kind").mapInArrow(_exact_pass(d), "tbl byte, id long, v array<double>"))
+        rows = t.select(F.lit(k).cast("byte").alias("tbl"), F.col("id").cast("long").alias("id"), "vec", "kind")
+        parts.append(rows.join(own, "id", "left_semi").select("tbl", "id", "vec", "kind").mapInArrow(_exact_pass(d), "tbl byte, id long, v binary"))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionAll(p)
     return rows.groupBy("tbl", "id").agg(F.min("v").alias("v"))
 
 
-def _pair_distance_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1)
-        b = batch.column(4).flatten().to_numpy().reshape(batch.num_rows, -1)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.sqrt(((a - b) ** 2).sum(axis=1)))], names=["tbl", "id_a", "id_b", "dist"])
+def _best(k: int, limit: float, d: int):
+    """Per task of a cell and row: its ``k`` nearest within ``limit`` by exact distances (ties: smaller id)."""
+
+    def work(ids: np.ndarray, x: np.ndarray, blk: np.ndarray) -> list[np.ndarray]:
+        centred = (x - x.mean(axis=0)).astype(np.float32)  # small numbers, so that single precision tells near from nearest
+        sq = np.einsum("ij,ij->i", centred, centred)
+        out = []
+        for rows, others in _slices(np.argsort(ids, kind="stable"), blk):
+            dist = sq[rows][:, None] + sq[others][None] - 2 * centred[rows] @ centred[others].T
+            dist[rows[:, None] == others[None]] = np.inf
+            blur = 4e-6 * (sq[rows][:, None] + sq[others].max()) + 1e-12
+            near = dist <= limit * limit + blur
+            if len(others) > k:
+                near &= dist <= np.partition(dist, k - 1, axis=1)[:, k - 1 : k] + 2 * blur
+            r, c = np.nonzero(near)
+            if not len(r):
+                continue
+            true = np.concatenate([np.sqrt(((x[rows[r[s : s + 65_536]]] - x[others[c[s : s + 65_536]]]) ** 2).sum(axis=1)) for s in range(0, len(r), 65_536)])
+            other = ids[others[c]]
+            order = np.lexsort((other, true, r))
+            r, true, other = r[order], true[order], other[order]
+            start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            rank = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
+            keep = (rank < k) & (true <= limit)
+            out.append((ids[rows[r[keep]]], other[keep], true[keep]))
+        return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, ["tbl", "cell", "task"]):
+            keys = [table.column(c).to_numpy() for c in ("tbl", "cell", "task")]
+            change = np.zeros(table.num_rows, bool)
+            for c in keys:
+                change[1:] |= c[1:] != c[:-1]
+            start = np.r_[0, np.flatnonzero(change), table.num_rows]
+            ids, blk, v = table.column("id").to_numpy(), table.column("blk").to_numpy(), table.column("v")
+            for lo, hi in zip(start, start[1:], strict=False):
+                if hi - lo > 1:
+                    item, other, dist = work(ids[lo:hi], as_doubles(v.slice(lo, hi - lo).to_pylist(), d), blk[lo:hi])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(item), keys[0][lo], np.int8)), pa.array(item), pa.array(other), pa.array(dist)], names=["tbl", "item", "other", "dist"])
 
-def exact_distances(pairs: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """``(tbl, id_a, id_b, dist)`` of candidate pairs by their stored vectors."""
-    ends = pairs.select("tbl", F.col("id_a").alias("id")).unionAll(pairs.select("tbl", F.col("id_b").alias("id"))).distinct()
-    v = written(exact_vectors(tables, ends), "exact")
-    joined = pairs.join(v.select("tbl", F.col("id").alias("id_a"), F.col("v").alias("va")), ["tbl", "id_a"]).join(v.select("tbl", F.col("id").alias("id_b"), F.col("v").alias("vb")), ["tbl", "id_b"])
-    return joined.select("tbl", "id_a", "id_b", "va", "vb").mapInArrow(_pair_distance_pass, "tbl byte, id_a long, id_b long, dist double")
+    return run
 
 
-def nearest_pairs(tables: list[DataFrame], k: int = 5, limit: float = 0.10) -> DataFrame:
+def nearest_pairs(tables: list[DataFrame], k: int = 5, limit: float = 0.10, cell_rows: int = CELL_ROWS, paired_rows: int = PAIRED_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(tbl, id_a, id_b, dist)``, id_a < id_b: pairs at most ``limit`` apart, one being among the ``k`` nearest of the other.
 
     ``tables`` are ``(id, vec, kind)``; ``tbl`` is a table's place in the list. Vectors that are
     null, of another length, with NaN or of zeros only, and null ids are left out; an id delivered
-    twice is one item (of differing usable vectors any one whose candidates are found; the exact
-    distance uses the smallest). Equal distances rank by the smaller id, so that of many exact
-    copies each is paired with the ``k`` smallest others, not with all. Empty tables give no rows.
+    twice is one item (of differing usable vectors the distance uses the smallest). Equal
+    distances rank by the smaller id, so that of many exact copies each is paired with the ``k``
+    smallest others, not with all. Empty tables give no rows.
+
+    Two vectors of one cell are always compared, by their packed distance first, and what the
+    packing error leaves possible by the exact one; no number of candidates is set. A cell of more
+    than ``block_rows`` rows is compared in pairs of blocks, up to ``paired_rows`` rows, beyond which
+    it is cut around its mean first. What may be missed is a pair that shares none of its cells.
     """
-    rows = packed_vectors(tables, PROBES, SEED)
-    stay, aside = copy_groups(rows, kept=k + 1)
-    candidates = over_cells(placed_rows(stay, PROBES, SEED), _near(limit, k), "id_a long, id_b long").distinct()
-    candidates = written(candidates, "candidates")
-    exact = exact_distances(candidates, tables).filter(F.col("dist") <= limit)
-    exact = written(exact, "distances")
-    ends = exact.select("tbl", F.col("id_a").alias("item"), F.col("id_b").alias("other"), "dist").unionAll(exact.select("tbl", F.col("id_b").alias("item"), F.col("id_a").alias("other"), "dist"))
-    rank = F.row_number().over(Window.partitionBy("tbl", "item").orderBy("dist", "other"))
-    best = ends.withColumn("rank", rank).filter(F.col("rank") <= k)
-    if aside is not None:
-        copies = aside.withColumn("rank", F.row_number().over(Window.partitionBy("tbl", "id").orderBy("near"))).filter(F.col("rank") <= k)
-        best = best.unionByName(copies.select("tbl", F.col("id").alias("item"), F.col("near").alias("other"), F.lit(0.0).alias("dist"), "rank"))
+    plan = axes_plan(sum(t.count() for t in tables) * PROBES, cell_rows)
+    probes = PROBES if plan else 1
+    keys = written(packed_vectors(tables, plan, probes, SEED, whole=False), "keys")
+    groups = copy_groups(keys, max(MANY_COPIES, k + 1), k + 1)
+    counts = written(keys.select("tbl", F.explode("cells").alias("cell")).groupBy("tbl", "cell").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    stay = without_copies(packed_vectors(tables, plan, probes, SEED), groups)
+    placed, counts = placed_rows(stay, counts, probes, SEED, paired_rows)
+    tasks = task_count(counts.agg(F.sum("n")).first()[0] or 0)
+    placed = in_blocks(placed.drop("home", "weight"), counts, block_rows)
+    active = over_cells(placed, _active(limit), "id long, cell long, task int, blk int", ["tbl", "cell", "task"], tasks)
+    active = written(active.distinct(), "active")
+    exact = exact_vectors(tables, active.select("tbl", "id").distinct())
+    bytes_each = 4 * DIM + 60
+    joined = active.join(exact, ["tbl", "id"]).repartition(task_count(active.count(), bytes_each), "tbl", "cell", "task").sortWithinPartitions("tbl", "cell", "task")
+    found = joined.select("tbl", "cell", "task", "id", "blk", "v").mapInArrow(_best(k, limit, DIM), "tbl byte, item long, other long, dist double")
+    found = written(found, "nearest").repartition("tbl", "item").groupBy("tbl", "item", "other").agg(F.min("dist").alias("dist"))
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("tbl", "item").orderBy("dist", "other"))).filter(F.col("rank") <= k)
+    if groups is not None:
+        # A copy set aside has the smallest ids of its group at distance 0; more than k of them are kept.
+        copies = set_aside(keys, groups).select("tbl", F.col("id").alias("item"), F.explode(F.slice("near", 1, k)).alias("other"), F.lit(0.0).alias("dist"))
+        best = best.select("tbl", "item", "other", "dist").unionAll(copies)
     return best.select("tbl", F.least("item", "other").alias("id_a"), F.greatest("item", "other").alias("id_b"), "dist").dropDuplicates(["tbl", "id_a", "id_b"])
 
 
