@@ -172,6 +172,74 @@ def test_subjects(spark):
     assert rows(subjects.subject_areas(twice)) == [(0, "law")]
 
 
+#: Plain sentences written without a look at the test tables.
+PLAIN = [
+    ("science", "The physicist measured the mass of the electron."),
+    ("software", "The program was written in Java and runs on Linux."),
+    ("food", "Bread is baked from flour, water and yeast."),
+    ("history", "The king signed a treaty after the long war in the fourteenth century."),
+    ("geography", "The river rises in the mountains and flows through three countries."),
+    ("law", "The judge sentenced the man to five years in prison."),
+    ("sport", "The striker scored twice in the second half of the match."),
+    ("music", "She wrote two symphonies and a concerto for piano."),
+    ("medicine", "The doctor prescribed a drug against the infection."),
+    ("economy", "Prices rose because the central bank lowered rates."),
+    ("science", "Plants turn sunlight into sugar through photosynthesis."),
+    ("software", "Users can download the app and edit files in the browser."),
+    ("food", "The cook adds onions and garlic to the soup."),
+    ("history", "Roman soldiers built the fortress during the reign of Hadrian."),
+    ("geography", "The island has about two thousand inhabitants and a small port."),
+    ("law", "Parliament passed an act that made the practice illegal."),
+    ("sport", "He won the gold medal at the Olympic Games."),
+    ("music", "The band released its second album in May."),
+    ("medicine", "Surgeons removed the tumour from her lung."),
+    ("economy", "Unemployment fell while exports grew by four percent."),
+    ("science", "Der Forscher untersuchte die Zelle unter dem Mikroskop."),
+    ("software", "Das Programm wurde in einer neuen Programmiersprache geschrieben."),
+    ("history", "Der König wurde nach der Schlacht gefangen genommen."),
+    ("food", "Le cuisinier ajoute du beurre et de la farine à la pâte."),
+    ("sport", "L'équipe a gagné le match en prolongation."),
+    ("economy", "El desempleo subió y la inflación llegó al diez por ciento."),
+    ("music", "La cantante grabó su primer álbum con una orquesta."),
+    ("medicine", "Die Patienten wurden mit Antibiotika behandelt."),
+    ("law", "El juez condenó al acusado a tres años de prisión."),
+    ("geography", "Le fleuve se jette dans la mer près de la capitale."),
+    ("none", "She walked home because it was late."),
+    ("none", "The name has several spellings."),
+    ("none", "He was born on a Tuesday and liked long walks."),
+    ("none", "They met again after many years."),
+]
+
+
+def test_plain_sentences(spark):
+    """Everyday sentences in four languages get their subject, and none where they have none."""
+    found = {}
+    for k, subject in rows(subjects.subject_areas(documents(spark, [t for _, t in PLAIN]))):
+        found.setdefault(k, set()).add(subject)
+    met = [subject in found.get(k, {"none"}) for k, (subject, _) in enumerate(PLAIN)]
+    assert np.mean(met) >= 0.9
+    assert all(k not in found for k, (subject, _) in enumerate(PLAIN) if subject == "none")
+
+
+def test_everyday_words_need_company(spark):
+    texts = ["The team was late.", "The team won the match.", "The cell was small.", "He measured the mass and the energy of it."]
+    assert rows(subjects.subject_areas(documents(spark, texts))) == [(1, "sport"), (3, "science")]
+
+
+def test_terms_of_the_text_language(spark):
+    """Spanish "pan" is bread and French "but" a goal; neither is in an English text."""
+    texts = ["The plan was good, but the pan was in the house and the four of us left.", "El pan de la casa se come con la sopa."]
+    assert rows(subjects.subject_areas(documents(spark, texts))) == [(1, "food")]
+    assert subjects.language_mask("the and der die") == 0b11
+
+
+def test_calibration_on_labels(spark):
+    docs = documents(spark, ["The verdict was near. "] * 6 + ["The team was here. "] * 6)
+    labels = spark.createDataFrame([(k, " Law" if k < 6 else "sport") for k in range(12)] + [(None, "law"), (3, None), (99, "law")], "doc_id long, subject string")
+    by = subjects.calibrated_weight(docs, labels, (1, 2, 3))
+    assert by[1] > by[2] > by[3] and max(by[3]) == 0.0
+
+
 def test_agreement_with_labels(spark):
     d = "/root/testdata/sf0.01"
     if not os.path.isdir(d):

@@ -1,9 +1,11 @@
 """Problem 9: the subject areas of each document.
 
 Method: curated, weighted subject terms are found by a multi-pattern automaton in the
-prose of a text. A term weighs more the longer and the rarer in the corpus it is; a
-sentence is about the subject with most weight; a document gets every subject that
-reaches a calibrated share of its subject sentences.
+prose of a text, terms of the text's language only. A term has a curated weight (2 if it
+names a subject by itself, 1 for an everyday word that needs company) and weighs more the
+longer and the rarer in the corpus it is; a sentence is about the subject with most
+weight, if its curated weights reach a calibrated sum; a document gets every subject that
+reaches the asked share of its subject sentences.
 
 Texts are read once: the first pass writes the matches (sentence, term) of each
 document, from which both the term statistics of the whole corpus and the result
@@ -15,8 +17,10 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import ne
 from pathlib import Path
 
 import ahocorasick
@@ -26,18 +30,36 @@ from pyspark.sql import functions as F
 
 from wordmosaic.session import written
 
-#: Curated terms by subject and language; a term listed under two subjects is ambiguous.
+#: Curated terms by subject, language and weight; a term listed under two subjects with one weight is ambiguous.
 TERMS = Path(__file__).with_name("subject_terms.json")
 #: Share of the subject sentences at which a document has a subject, in hundredths.
 LEAST_SHARE = 30
 
+#: Sum of curated weights a sentence needs, calibrated by :func:`calibrated_weight` on labelled documents.
+LEAST_WEIGHT = 2
+
 REDIRECT = re.compile(r"\s*#\s*(redirect(ion)?|weiterleitung|redirecci[oó]n)\b", re.I)
-#: A text with this beside a letter is damaged: its terms are also found with single letters replaced.
-DAMAGE = re.compile(r"[^\W\d_]#|#[^\W\d_]")
+#: A letter beside a sign or digit that belongs in no word: the text is damaged, and terms are also found with letters replaced.
+DAMAGE = re.compile(r"[^\W\d_][#@$%~^¤�]|[#@$%~^¤�][^\W\d_]|[^\W\d_]\d[^\W\d_]")
 #: Shortest term looked for in damaged form.
 LEAST_DAMAGED = 8
-#: Sentences about the page itself, of which a damaged copy should still show one part.
-ABOUT_PAGE = re.compile(r"should not be confused with|of the same name|picture of an? |once shown here|shown here by|here by mistake|earlier title|title of this page|of this page was", re.I)
+#: How sentences about the page itself speak, in the four languages: hatnotes, titles, pictures, moves of the page.
+ABOUT_PAGE = re.compile(
+    r"\b(?:not (?:to )?be confused with|of the same name|other uses|disambiguation|redirects? (?:here|to)|"
+    r"(?:this|the) (?:page|article|stub|entry)|of this (?:page|article)|(?:earlier|former|previous|old) titles?|"
+    r"(?:picture|image|photo|photograph|drawing) (?:of|showing)|(?:shown|displayed|uploaded|placed) here|by mistake)\b|"
+    r"\b(?:nicht zu verwechseln|verwechselt werden mit|Begriffsklärung|dieser? (?:Seite|Artikels?)|frühere[rn]? Titel|(?:ein|das|dieses) Bild|hier gezeigt|versehentlich)\b|"
+    r"\b(?:ne (?:pas|doit pas être) confond\w+|du même nom|homonymie|cette page|cet article|ancien titre|titre précédent|une? (?:image|photo) d|montrée? ici|par erreur)|"
+    r"\b(?:no debe confundirse|no confundir|del mismo nombre|desambiguación|esta página|este artículo|título anterior|antiguo título|una (?:imagen|foto) de|mostrad[oa] aquí|por error)\b",
+    re.I,
+)
+#: Function words by which a text's language is told.
+FUNCTION_WORDS = {
+    "en": "the of and to in is was were has have had that for with as by from been than not which its an be are on",
+    "de": "der die das und ist war wurde von mit den dem des ein eine nicht auf für als im zu sich wird auch er sie",
+    "fr": "le la les des est et une un dans par pour avec été du que qui au aux sur ne pas se ont il elle",
+    "es": "el la los las es y una un en por para con fue del que se al su sobre no ha han más como lo",
+}
 SPANS = re.compile(r"<!--.*?-->|<(ref|nowiki|math|gallery|pre|code)\b[^<>]*?(?:/>|>.*?</\1\s*>)|\[\[\s*(?:category|kategorie|cat[eé]gorie|categor[ií]a|file|image|datei|fichier|archivo)\s*:[^\[\]]*\]\]", re.I | re.S)
 TRIPLE = re.compile(r"\{\{\{[^{}]*\}\}\}")
 TEMPLATE = re.compile(r"\{\{[^{}]*\}\}")
@@ -90,6 +112,32 @@ def sentences(text: str | None) -> list[str]:
     return found
 
 
+LANGUAGES = tuple(FUNCTION_WORDS)
+SIGNALS = {w: sum(1 << k for k, lang in enumerate(LANGUAGES) if w in FUNCTION_WORDS[lang].split()) for words in FUNCTION_WORDS.values() for w in words.split()}
+
+
+def language_mask(low: str) -> int:
+    """The language of a text in lower case as a bit, by its function words; several bits where it stays open."""
+    words = Counter(low.split())
+    seen = [0] * len(LANGUAGES)
+    for w in SIGNALS.keys() & words.keys():
+        for k in range(len(LANGUAGES)):
+            if SIGNALS[w] >> k & 1:
+                seen[k] += words[w]
+    most = max(seen)
+    return sum(1 << k for k, n in enumerate(seen) if n == most)
+
+
+def inflected(term: str, language: str) -> set[str]:
+    """Regular plural and case forms of a term (its last word)."""
+    if language == "en":
+        return {term + "s", term + "es", term[:-1] + "ies" if term.endswith("y") else term + "s"}
+    if len(term) < 5:
+        return set()
+    ends = {"de": ("e", "en", "n", "s", "es", "er", "ern"), "fr": ("s", "x"), "es": ("s", "es")}[language]
+    return {term + e for e in ends}
+
+
 class Lexicon:
     """The subject terms as one automaton over their written forms."""
 
@@ -97,48 +145,57 @@ class Lexicon:
         listed = json.loads(listing)
         self.subjects = sorted(listed)
         self.terms: list[str] = []
-        self.of_term: list[list[int]] = []
+        self.of_term: list[list[tuple[int, int]]] = []  # subjects with their curated weights
         index: dict[str, int] = {}
-        forms: dict[str, tuple[int, bool]] = {}  # form: term, and whether a capital letter makes it a name
+        forms: dict[tuple[str, str], tuple[int, bool]] = {}  # form and language: term, and whether a capital letter makes it a name
         for k, subject in enumerate(self.subjects):
-            for language, words in listed[subject].items():
-                for word in words:
-                    low = word.lower()
-                    t = index.setdefault(low, len(self.terms))
-                    if t == len(self.terms):
-                        self.terms.append(low)
-                        self.of_term.append([])
-                    if k not in self.of_term[t]:
-                        self.of_term[t].append(k)
-                    forms[low] = (t, False)
-                    if language == "en":
-                        for plural in {low + "s", low + "es", low[:-1] + "ies" if low.endswith("y") else low + "s"}:
-                            forms.setdefault(plural, (t, " " not in low))
+            for language, weights in listed[subject].items():
+                for weight, words in weights.items():
+                    for word in words:
+                        low = word.lower()
+                        t = index.setdefault(f"{language}:{low}", len(self.terms))
+                        if t == len(self.terms):
+                            self.terms.append(low)
+                            self.of_term.append([])
+                        if k not in [s for s, _ in self.of_term[t]]:
+                            self.of_term[t].append((k, int(weight)))
+                        forms[low, language] = (t, False)
+        for key, t in index.items():
+            language, low = key.split(":", 1)
+            for form in inflected(low, language):
+                forms.setdefault((form, language), (t, language == "en" and " " not in low))
+        by_form: dict[str, list[tuple[int, int, bool]]] = {}
+        for (form, language), (t, name) in forms.items():
+            by_form.setdefault(form, []).append((1 << LANGUAGES.index(language), t, name))
         self.automaton = ahocorasick.Automaton()
-        for form, (t, name) in forms.items():
-            self.automaton.add_word(form, (t, len(form), name))
+        for form, of in by_form.items():
+            self.automaton.add_word(form, (len(form), of))
         self.automaton.make_automaton()
         # A form with k letters replaced keeps one of its k + 1 pieces whole.
-        pieces: dict[str, list[tuple[str, int, int, int]]] = {}
-        for form, (t, _) in forms.items():
+        pieces: dict[str, list[tuple[str, int, int, int, int]]] = {}
+        for form, of in by_form.items():
             if len(form) >= LEAST_DAMAGED:
                 n = 2 if len(form) < 14 else 3
                 cuts = [len(form) * k // n for k in range(n + 1)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    pieces.setdefault(form[a:b], []).append((form, t, a, n - 1))
+                for bit, t, _ in of:
+                    for a, b in zip(cuts, cuts[1:], strict=False):
+                        pieces.setdefault(form[a:b], []).append((form, bit, t, a, n - 1))
         self.pieces = ahocorasick.Automaton()
         for piece, of in pieces.items():
             self.pieces.add_word(piece, (len(piece), of))
         self.pieces.make_automaton()
 
-    def damaged(self, low: str) -> list[tuple[int, int, int]]:
-        """Hits ``(start, -length, term)`` of terms with a letter or two replaced."""
+    def damaged(self, low: str, mask: int) -> list[tuple[int, int, int]]:
+        """Hits ``(start, -length, term)`` of terms with a letter or two replaced; of a long one also the blank on one side."""
         hits = []
         for end, (n, of) in self.pieces.iter(low):
-            for form, t, at, most in of:
+            for form, bit, t, at, most in of:
                 start = end - n + 1 - at
-                if start >= 0 and start + len(form) <= len(low) and sum(a != b for a, b in zip(low[start : start + len(form)], form, strict=True)) <= most:
-                    hits.append((start, -len(form), t))
+                if bit & mask and start >= 0 and start + len(form) <= len(low):
+                    after = start + len(form)
+                    open_ends = (start > 0 and low[start - 1].isalnum()) + (after < len(low) and low[after].isalnum())
+                    if open_ends <= (len(form) >= 10) and sum(map(ne, low[start:after], form)) <= most:
+                        hits.append((start, -len(form), t))
         return hits
 
     def matches(self, parts: list[str]) -> list[tuple[int, int]]:
@@ -147,14 +204,15 @@ class Lexicon:
         low = text.lower()
         if len(low) != len(text):  # a few letters grow in lower case
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        mask = language_mask(low)
         hits = []
-        for end, (t, n, name) in self.automaton.iter(low):
+        for end, (n, of) in self.automaton.iter(low):
             start, after = end - n + 1, end + 1
-            if (start and low[start - 1].isalnum()) or (after < len(low) and low[after].isalnum()) or (name and text[start].isupper()):
+            if (start and low[start - 1].isalnum()) or (after < len(low) and low[after].isalnum()):
                 continue
-            hits.append((start, -n, t))
+            hits += [(start, -n, t) for bit, t, name in of if bit & mask and not (name and text[start].isupper())][:1]
         if DAMAGE.search(text):
-            hits += self.damaged(low)
+            hits += self.damaged(low, mask)
         hits.sort()
         found, free, sentence, edge = [], 0, 0, 0
         ends = []
@@ -210,18 +268,26 @@ def term_weights(matches: DataFrame, words: Lexicon) -> list[float]:
     return [(1 + 0.5 * t.count(" ")) * math.log((n + 1) / (df.get(k, 0) + 0.5) + 1) for k, t in enumerate(words.terms)]
 
 
-def document_subjects(at: list[int], terms: list[int], of_term: list[list[int]], weight: list[float], n_subjects: int) -> list[int]:
-    """Subject sentences per subject of one document."""
+def document_subjects(at: list[int], terms: list[int], of_term: list[list[tuple[int, int]]], weight: list[float], n_subjects: int, least_weight: int = LEAST_WEIGHT) -> list[int]:
+    """Subject sentences per subject of one document, and their number."""
     scores: dict[int, dict[int, float]] = {}
+    curated: dict[int, dict[int, int]] = {}
     whole = [0.0] * n_subjects
     for s, t in zip(at, terms, strict=True):
-        own = scores.setdefault(s, {})
-        for k in of_term[t]:
-            own[k] = own.get(k, 0.0) + weight[t]
+        own, sure = scores.setdefault(s, {}), curated.setdefault(s, {})
+        for k, c in of_term[t]:
+            own[k] = own.get(k, 0.0) + c * weight[t]
+            sure[k] = sure.get(k, 0) + c
             if len(of_term[t]) == 1:
-                whole[k] += weight[t]
+                whole[k] += c * weight[t]
     counts = [0] * n_subjects
-    for own in scores.values():
+    total = 0
+    for s, own in scores.items():
+        sure = curated[s]
+        own = {k: v for k, v in own.items() if sure[k] >= least_weight}
+        if not own:
+            continue  # everyday words alone
+        total += 1
         best = max(own.values())
         winners = [k for k, v in own.items() if v >= best - 1e-9]
         if len(winners) > 1:  # only ambiguous terms: what the rest of the text is about decides
@@ -229,16 +295,16 @@ def document_subjects(at: list[int], terms: list[int], of_term: list[list[int]],
             winners = [k for k in winners if whole[k] == most]
         for k in winners:
             counts[k] += 1
-    return [*counts, len(scores)]
+    return [*counts, total]
 
 
-def _share_pass(listed: str, weight: list[float]):
+def _share_pass(listed: str, weight: list[float], least_weight: int = LEAST_WEIGHT):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = lexicon(listed)
         for batch in batches:
             out: list[tuple] = []
             for key, at, terms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                *counts, total = document_subjects(at, terms, words.of_term, weight, len(words.subjects))
+                *counts, total = document_subjects(at, terms, words.of_term, weight, len(words.subjects), least_weight)
                 out += [(key, words.subjects[k], c, total) for k, c in enumerate(counts) if c]
             cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.types[0]), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["doc_id", "subject", "sentences", "of"])
@@ -259,6 +325,27 @@ def subject_sentences(documents: DataFrame, terms: str = str(TERMS)) -> DataFram
     return matches.mapInArrow(_share_pass(listed, weight), f"doc_id {kind}, subject string, sentences long, of long")
 
 
+def calibrated_weight(documents: DataFrame, labels: DataFrame, choices: tuple[int, ...] = (1, 2, 3), terms: str = str(TERMS)) -> dict[int, tuple[float, float]]:
+    """Per choice of the least curated weight: share of correct labels on one half of the labelled documents, and on the other.
+
+    ``labels`` is ``(doc_id, subject)``, spelling and blanks aside; the first share is for choosing, the
+    second for measuring. A label is met if the document has the subject. Null labels are left out.
+    """
+    listed = listing(terms)
+    wanted = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).filter(F.col("doc_id").isNotNull() & F.col("subject").isNotNull()).distinct()
+    matches = written(subject_matches(documents.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), listed), "matches")
+    weight = term_weights(matches, lexicon(listed))
+    kind = matches.schema["doc_id"].dataType.simpleString()
+    found = {}
+    for c in choices:
+        shares = matches.mapInArrow(_share_pass(listed, weight, c), f"doc_id {kind}, subject string, sentences long, of long").filter(F.col("sentences") * 100 >= F.col("of") * LEAST_SHARE)
+        met = wanted.join(shares.select("doc_id", "subject", F.lit(1).alias("hit")), ["doc_id", "subject"], "left")
+        half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+        by = {r[0]: r[1] for r in met.groupBy(half.alias("h")).agg(F.avg(F.coalesce("hit", F.lit(0)))).collect()}
+        found[c] = (by.get(0, 0.0), by.get(1, 0.0))
+    return found
+
+
 def subject_areas(documents: DataFrame, terms: str = str(TERMS), least_share: int = LEAST_SHARE) -> DataFrame:
     """``(doc_id, subject)``: every subject with ``least_share`` percent of a document's subject sentences."""
     shares = subject_sentences(documents, terms)
