@@ -1,8 +1,8 @@
 """Problem 3: frequency of every distinct term and term sequence.
 
 Method: suffix-sorted n-gram counting. Each record gives its suffixes, cut to the
-longest sequence wanted; equal ones are combined before the shuffle; they are
-routed by their first term, sorted in reverse lexicographic order, and one pass
+longest sequence wanted; equal ones of a batch are combined before the shuffle; they
+are routed by their first term, sorted in reverse lexicographic order, and one pass
 with a stack closes every prefix as soon as a suffix no longer starts with it.
 
 The stack needs the set of records below each prefix. A set is not carried:
@@ -15,93 +15,119 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from wordmosaic.llm.common import VOCABULARY, delivered_once
+from wordmosaic.llm.common import VOCABULARY, delivered_once, whole_runs
 from wordmosaic.session import SALTS, hot_keys, written
 
 #: A term with at most so many occurrences is too rare to be useful.
 RARE = 3
 #: A term in more than this share of the records is too common to be useful.
 COMMON = 0.05
+#: Length at which suffixes of the bags are cut: words and sequences of two come from one pass.
+LONGEST = 2
 #: Distinct suffixes of one first term above which they are spread over several tasks.
 HOT_SUFFIXES = 200_000
 
 
-def suffixes(records: DataFrame, terms: str, longest: int) -> DataFrame:
-    """``(suffix, n, opened)``: distinct cut suffixes with occurrences and, per length, records first opened."""
-    cut = F.transform("t", lambda _, i: F.slice("t", i + 1, longest))
-    ordered = F.array_sort(cut)
+def _grid(lists: pa.Array, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Of arrays of terms: codes of the first ``longest`` terms (-1 beyond the end), lengths, starts in the flat values, and these."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    flat = lists.flatten()
+    length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(length) - length
+    plain = pa.types.is_integer(flat.type) and (pc.min(flat).as_py() or 0) >= 0
+    codes = (flat if plain else pc.dictionary_encode(flat).indices).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = start[:, None] + np.arange(longest)
+    grid = np.where(np.arange(longest) < length[:, None], np.r_[codes, -1][np.minimum(at, len(codes))], -1)
+    return grid, length, start, flat
 
-    def shared(a, b):  # length of the common start of two cut suffixes
-        return sum((F.when((F.size(a) >= k) & (F.size(b) >= k) & (F.slice(a, 1, k) == F.slice(b, 1, k)), 1).otherwise(0) for k in range(1, longest + 1)), F.lit(0))
 
-    rows = (
-        records.select(F.filter(F.col(terms), lambda w: w.isNotNull()).alias("t"))
-        .filter(F.size("t") > 0)
-        .select(ordered.alias("s"))
-        .select(F.posexplode("s").alias("i", "suffix"), F.col("s"))
-        .select("suffix", F.when(F.col("i") == 0, F.lit(0)).otherwise(shared(F.col("s")[F.greatest(F.col("i") - 1, F.lit(0))], F.col("suffix"))).alias("known"))
-    )
-    opened = [F.sum((F.col("known") < k).cast("long")).alias(f"o{k}") for k in range(1, longest + 1)]
-    return rows.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), *opened).select("suffix", "n", F.array(*(f"o{k}" for k in range(1, longest + 1))).alias("opened"))
+def _lists(flat: pa.Array, at: np.ndarray, length: np.ndarray) -> pa.ListArray:
+    """Arrays of ``length`` values from ``at`` on."""
+    ends = np.r_[0, np.cumsum(length)]
+    take = np.repeat(at - ends[:-1], length) + np.arange(ends[-1])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat.take(pa.array(take)))
 
 
-def single_terms(records: DataFrame, terms: str) -> DataFrame:
-    """:func:`suffixes` for length 1, where a suffix is its term and no slices need be built."""
-    ordered = F.array_sort(F.filter(F.col(terms), lambda w: w.isNotNull()))
-    rows = records.select(ordered.alias("s")).select(F.posexplode("s").alias("i", "w"), F.col("s"))
-    rows = rows.select("w", ((F.col("i") == 0) | (F.col("s")[F.greatest(F.col("i") - 1, F.lit(0))] != F.col("w"))).cast("long").alias("first"))
-    return rows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("o1")).select(F.array("w").alias("suffix"), "n", F.array("o1").alias("opened"))
+def _same(grid: np.ndarray) -> np.ndarray:
+    """Per row the number of leading terms it shares with the row above."""
+    alike = np.zeros(grid.shape, bool)
+    alike[1:] = (grid[1:] == grid[:-1]) & (grid[1:] >= 0)
+    return np.logical_and.accumulate(alike, axis=1).sum(axis=1)
 
 
-def _stack_pass(schema: pa.Schema):
+def _suffix_pass(longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram: list = []  # the open prefix, one term per stack level
-        counts: list[list[int]] = []  # per level: occurrences, records
-        out: list[tuple] = []
-
-        def close(depth: int) -> None:
-            while len(gram) > depth:
-                n, o = counts.pop()
-                out.append((gram.copy(), n, o))
-                gram.pop()
-                if counts:  # what lies below a prefix occurs at its own start as well
-                    counts[-1][0] += n
-
-        def table() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
-            out.clear()
-            return made
-
         for batch in batches:
-            for s, n, o in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                same = 0
-                for a, b in zip(gram, s, strict=False):
-                    if a != b:
-                        break
-                    same += 1
-                close(same)
-                for term in s[same:]:
-                    gram.append(term)
-                    counts.append([0, 0])
-                counts[-1][0] += n
-                for level in range(len(s)):
-                    counts[level][1] += o[level]
-                if len(out) >= 50_000:
-                    yield table()
-        close(0)
-        yield table()
+            _, length, _, flat = _grid(batch.column(0), 1)
+            if not len(flat):
+                continue
+            # A suffix starts at every term and ends with its record: cut it to the longest sequence wanted.
+            record = np.repeat(np.arange(len(length)), length)
+            left = np.repeat(np.cumsum(length), length) - np.arange(len(flat))
+            cut = np.minimum(left, longest)
+            grid = _grid(_lists(flat, np.arange(len(flat)), cut), longest)[0]
+            order = np.lexsort((*grid.T[::-1], record))
+            known = _same(grid[order])
+            known[np.r_[True, record[order][1:] != record[order][:-1]]] = 0
+            # Equal suffixes of the batch are combined before anything is shuffled.
+            again = np.lexsort(grid[order].T[::-1])
+            rows, known = order[again], known[again]
+            runs = np.flatnonzero((_same(grid[rows]) < np.maximum(cut[rows], np.r_[0, cut[rows][:-1]])))
+            n = np.diff(np.r_[runs, len(rows)])
+            opened = np.stack([np.add.reduceat((known < k).astype(np.int64), runs) for k in range(1, longest + 1)], axis=1)
+            heads = rows[runs]
+            yield pa.RecordBatch.from_arrays(
+                [flat.take(pa.array(heads)), _lists(flat, heads, cut[heads]), pa.array(n), pa.FixedSizeListArray.from_arrays(pa.array(opened.ravel()), longest).cast(pa.list_(pa.int64()))],
+                names=["first", "suffix", "n", "opened"],
+            )
+
+    return run
+
+
+def suffixes(records: DataFrame, terms: str, longest: int) -> DataFrame:
+    """``(first, suffix, n, opened)``: cut suffixes with occurrences and, per length, records first opened, combined by batch."""
+    kind = records.schema[terms].dataType.elementType.simpleString()
+    rows = records.select(F.filter(F.col(terms), lambda w: w.isNotNull()).alias("t")).filter(F.size("t") > 0)
+    return rows.mapInArrow(_suffix_pass(longest), f"first {kind}, suffix array<{kind}>, n long, opened array<long>")
+
+
+def _stack_pass(longest: int, lengths: frozenset[int]):
+    """Closes prefixes over suffixes in reverse order.
+
+    A row leaves open the prefixes it shares with the row above, closes the deeper ones and opens its
+    own; rows up to where a prefix closes add to its counts. The stack has ``longest`` levels at most,
+    and each is kept as the rows at which its prefixes open, so a whole run of rows is closed at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, ["first", "salt"]):
+            grid, length, start, flat = _grid(table.column("suffix"), longest)
+            n = table.column("n").to_numpy()
+            opened = _grid(table.column("opened"), longest)[0]
+            kept = _same(grid)
+            for level in sorted(lengths):
+                deep = length >= level  # rows on whose stack this level lies
+                opens = np.flatnonzero((kept < level)[deep])
+                if not len(opens):
+                    continue
+                at = start[deep][opens]
+                yield pa.RecordBatch.from_arrays(
+                    [_lists(flat, at, np.full(len(at), level)), pa.array(np.add.reduceat(n[deep], opens)), pa.array(np.add.reduceat(opened[deep, level - 1], opens))],
+                    names=["gram", "occurrences", "records"],
+                )
 
     return run
 
 
-def sequence_counts(records: DataFrame, terms: str, longest: int = 1, hot_suffixes: int = HOT_SUFFIXES) -> DataFrame:
-    """``(gram, occurrences, records)`` of every sequence of 1 to ``longest`` neighbouring terms.
+def sequence_counts(records: DataFrame, terms: str, longest: int = 1, hot_suffixes: int = HOT_SUFFIXES, lengths: set[int] | None = None) -> DataFrame:
+    """``(gram, occurrences, records)`` of every sequence of 1 to ``longest`` neighbouring terms, or only of some ``lengths``.
 
     ``records`` has one row per record and an array column ``terms``; a record repeated as
     a row counts again (remove redeliveries first). Null and empty arrays hold nothing, null
@@ -109,16 +135,12 @@ def sequence_counts(records: DataFrame, terms: str, longest: int = 1, hot_suffix
     """
     if longest < 1:
         raise ValueError("longest must be at least 1")
-    found = single_terms(records, terms) if longest == 1 else suffixes(records, terms, longest)
-    found = written(found.withColumn("first", F.col("suffix")[0]), "suffixes")
-    hot = hot_keys(found, "first", hot_suffixes) if longest > 1 else []
+    found = written(suffixes(records, terms, longest), "suffixes")
+    hot = hot_keys(found, "first", hot_suffixes)
     salt = F.when(F.col("first").isin(hot), F.pmod(F.xxhash64("suffix"), F.lit(SALTS))).otherwise(F.lit(0)) if hot else F.lit(0)
-    routed = found.withColumn("salt", salt).repartition("first", "salt").sortWithinPartitions(F.desc("suffix"))
-    kind = found.schema["suffix"].dataType
-    schema = T.StructType([T.StructField("gram", kind), T.StructField("occurrences", T.LongType()), T.StructField("records", T.LongType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    closed = routed.select("suffix", "n", "opened").mapInArrow(_stack_pass(to_arrow_schema(schema)), schema)
+    routed = found.withColumn("salt", salt.cast("int")).repartition("first", "salt").sortWithinPartitions(F.desc("first"), F.desc("salt"), F.desc("suffix"))
+    kind = records.schema[terms].dataType.simpleString()
+    closed = routed.mapInArrow(_stack_pass(longest, frozenset(lengths or range(1, longest + 1))), f"gram {kind}, occurrences long, records long")
     if not hot:
         return closed
     # A hot first term was spread over several tasks, each of which closed its own part of a prefix.
@@ -133,9 +155,13 @@ def term_marks(counts: DataFrame, n_records: int, rare: int = RARE, common: floa
 
 
 def word_statistics(bow: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
-    """``(word, occurrences, images, marks)`` of every valid word; images delivered twice count once."""
+    """``(word, occurrences, images, marks)`` of every valid word; images delivered twice count once.
+
+    The words are the prefixes of length 1 that the stack closes over the same cut suffixes
+    from which :func:`p3_sequences` takes those of length 2.
+    """
     n_images = bow.agg(F.count_distinct("image_name")).first()[0]
-    counts = sequence_counts(delivered_once(bow, vocabulary), "words", 1)
+    counts = sequence_counts(delivered_once(bow, vocabulary), "words", LONGEST, lengths={1})
     return term_marks(counts, n_images).select(F.col("gram")[0].alias("word"), "occurrences", F.col("records").alias("images"), "marks")
 
 
@@ -152,5 +178,5 @@ def p3_words(spark: SparkSession, d: str) -> DataFrame:
 def p3_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Sequences of two neighbouring words in the sorted bags of valid words, with both counts."""
     bags = delivered_once(spark.read.parquet(f"{d}/bow.parquet"))
-    counts = sequence_counts(bags, "words", 2).filter(F.size("gram") == 2)
+    counts = sequence_counts(bags, "words", LONGEST, lengths={2})
     return counts.select(F.col("gram")[0].alias("word_1"), F.col("gram")[1].alias("word_2"), "occurrences", F.col("records").alias("images"))
