@@ -158,6 +158,18 @@ def test_hot_tokens_and_large_universes(spark):
             assert rows(setjoin.verified_pairs(found, classes, 0.5).select("x", "y")) == want
 
 
+def test_one_set_of_a_third_and_a_token_of_half(spark, monkeypatch):
+    """A set held by a third of the images, similar to others, and a token in half of them: all pairs, in blocks."""
+    monkeypatch.setattr(setjoin, "HOT_COPIES", 7)
+    monkeypatch.setattr(setjoin, "HOT_POSTINGS", 5)
+    main = random_bags(8, 60) + [(f"third{k:02}", [7, 8, 9, 10]) for k in range(40)] + [(f"half{k:02}", [7, 8, 9, 10 + k]) for k in range(25)]
+    other = random_bags(9, 12, "r") + [(f"rthird{k}", [10, 9, 8, 7]) for k in range(9)] + [("third01", [7, 8, 9])]
+    sets = setjoin.similar_set_pairs(bag_table(spark, main), bag_table(spark, other), 0.5)
+    assert rows(sets) == brute_pairs(main, other, 0.5)
+    rows_of = setjoin.block_pairs(setjoin.prefix_index(setjoin.set_classes(setjoin.as_sets(bag_table(spark, main))), 0.5), 5)
+    assert rows_of.groupBy("token", "task").count().agg({"count": "max"}).first()[0] <= 30
+
+
 def test_product_in_small_pieces(spark, monkeypatch):
     monkeypatch.setattr(neardup, "HELD", 7)
     classes = setjoin.set_classes(setjoin.as_sets(bag_table(spark, random_bags(6, 60, words=15))))

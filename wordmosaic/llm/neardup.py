@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from wordmosaic.functions.names import image_name
 from wordmosaic.llm.common import VOCABULARY, whole_runs
 from wordmosaic.llm.groups import connected_groups
-from wordmosaic.llm.setjoin import BLOCKS, HOT_POSTINGS, MEETINGS, as_sets, block_pairs, class_members, prefix_index, set_classes, verified_pairs
+from wordmosaic.llm.setjoin import HOT_POSTINGS, MEETINGS, as_sets, block_pairs, class_members, prefix_index, set_classes, verified_pairs
 
 #: Products held before equal pairs are added up.
 HELD = 2_000_000
 
 
-def _products(theta: float, meetings: int, blocks: int):
+def _products(theta: float, meetings: int):
     """Overlap counts of all pairs of rows within each column of a block, added up over the block's columns."""
     out = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("c", pa.int64()), ("need", pa.int32())])
     share = theta / (1 + theta)
@@ -38,13 +38,13 @@ def _products(theta: float, meetings: int, blocks: int):
         start = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, int)
         return x[start], y[start], np.add.reduceat(c, start) if len(start) else c, need[start]
 
-    def pairs(left, right, n, pos, cid, task, blk):
+    def pairs(left, right, n, pos, cid, task, blk, blocks):
         nl, nr = n[left], n[right]
         need = np.ceil(share * (nl + nr) - 1e-9).astype(np.int32)
         ok = (nl >= theta * nr - 1e-9) & (nr >= theta * nl - 1e-9)
         ok &= (pos[left] <= nl - need + meetings) & (pos[right] <= nr - need + meetings)
         bl, br = blk[left], blk[right]
-        ok &= task[left] == np.minimum(bl, br) * blocks + np.maximum(bl, br)
+        ok &= task[left] == np.minimum(bl, br) * blocks[left] + np.maximum(bl, br)
         a, b = cid[left[ok]], cid[right[ok]]
         return np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64), need[ok]
 
@@ -52,7 +52,7 @@ def _products(theta: float, meetings: int, blocks: int):
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for table in whole_runs(batches, ["token", "task"]):
-            token, task, cid, n, pos, blk = (table.column(c).to_numpy() for c in ("token", "task", "cid", "n", "pos", "blk"))
+            token, task, cid, n, pos, blk, parts = (table.column(c).to_numpy() for c in ("token", "task", "cid", "n", "pos", "blk", "blocks"))
             cut = np.flatnonzero((token[1:] != token[:-1]) | (task[1:] != task[:-1])) + 1
             end = np.repeat(np.r_[cut, len(token)], np.diff(np.r_[0, cut, len(token)]))
             after = end - np.arange(len(token)) - 1  # rows of the same column that follow
@@ -63,7 +63,7 @@ def _products(theta: float, meetings: int, blocks: int):
                 m = after[at:to]
                 left = np.repeat(np.arange(at, to), m)
                 right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
-                part = pairs(left, right, n, pos, cid, task, blk)
+                part = pairs(left, right, n, pos, cid, task, blk, parts)
                 at = to
                 if len(part[0]):
                     held.append(part)
@@ -83,7 +83,7 @@ def _products(theta: float, meetings: int, blocks: int):
 def product_candidates(index: DataFrame, theta: float, meetings: int = MEETINGS, hot_postings: int = HOT_POSTINGS) -> DataFrame:
     """``(x, y)``: pairs of rows whose accumulated overlap in the bounded columns reaches the bound."""
     blocks = block_pairs(index, hot_postings).repartition("token", "task").sortWithinPartitions("token", "task")
-    partial = blocks.mapInArrow(_products(theta, meetings, BLOCKS), "x long, y long, c long, need int")
+    partial = blocks.mapInArrow(_products(theta, meetings), "x long, y long, c long, need int")
     total = partial.groupBy("x", "y").agg(F.sum("c").alias("c"), F.min("need").alias("need"))
     return total.filter(F.col("c") >= F.least(F.col("need"), F.lit(meetings))).select("x", "y")
 

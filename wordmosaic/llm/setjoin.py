@@ -18,14 +18,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmosaic.llm.common import VOCABULARY, delivered_once
-from wordmosaic.session import hot_join, hot_keys, written
+from wordmosaic.session import hot_join, written
 
 #: Common tokens of the (longer) prefixes that a pair must have.
 MEETINGS = 2
-#: Rows of one token in the index above which its pairs are made in several tasks, by blocks of rows.
+#: Rows of one token in the index above which its pairs are made in several tasks, by blocks of so many rows.
 HOT_POSTINGS = 5_000
-#: Blocks the rows of such a token are cut into.
-BLOCKS = 8
+#: Copies of one set above which its members are taken in blocks of so many.
+HOT_COPIES = 2_000
+#: Hot tokens or sets up to which their list is broadcast (16 bytes each); beyond it, it is joined.
+MAX_BROADCAST_HOT = 1_000_000
 #: Largest token universe whose ranks are broadcast as one array (4 bytes a token).
 MAX_DENSE_TOKENS = 4_000_000
 
@@ -110,18 +112,26 @@ def prefix_index(classes: DataFrame, theta: float, extra: int = MEETINGS, max_de
     return written(listed.filter((F.col("pos") + 1 <= short) & (F.col("t.df") > 1)).select(F.col("t.token").alias("token"), "cid", "n", (F.col("pos") + 1).cast("int").alias("pos")), "index")
 
 
-def block_pairs(index: DataFrame, hot_postings: int = HOT_POSTINGS, blocks: int = BLOCKS) -> DataFrame:
-    """``index`` with ``blk`` (a row's block) and ``task``: rows of a hot token go to one task per pair of blocks."""
-    hot = hot_keys(index, "token", hot_postings)
-    if not hot:
-        return index.withColumn("blk", F.lit(0)).withColumn("task", F.lit(0))
-    is_hot = F.col("token").isin(hot)
-    spread = index.withColumn("blk", F.when(is_hot, F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int")).otherwise(F.lit(0)))
-    pairs_of = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.least(F.col("blk"), k) * blocks + F.greatest(F.col("blk"), k))
-    return spread.withColumn("task", F.explode(F.when(is_hot, pairs_of).otherwise(F.array(F.lit(0)))))
+def _short(df: DataFrame) -> DataFrame:
+    """A written list, to be broadcast if its counted size allows."""
+    df = written(df, "hot")
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_HOT else df
 
 
-def in_task(task: Column, first: Column, second: Column, blocks: int = BLOCKS) -> Column:
+def block_pairs(index: DataFrame, hot_postings: int = HOT_POSTINGS) -> DataFrame:
+    """``index`` with ``blk`` (a row's block), ``blocks`` (how many its token has) and ``task``.
+
+    Rows of a token go to one task per pair of blocks, a block having about ``hot_postings`` rows
+    whatever their number.
+    """
+    hot = index.groupBy("token").count().filter(F.col("count") > hot_postings).select("token", F.ceil(F.col("count") / hot_postings).cast("int").alias("blocks"))
+    spread = index.join(_short(hot), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    spread = spread.withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    pairs_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(F.col("blk"), k) * F.col("blocks") + F.greatest(F.col("blk"), k))
+    return spread.withColumn("task", F.explode(pairs_of))
+
+
+def in_task(task: Column, first: Column, second: Column, blocks: Column) -> Column:
     """Whether a pair of rows with these blocks is made in this task (each pair of rows in exactly one)."""
     return task == F.least(first, second) * blocks + F.greatest(first, second)
 
@@ -129,12 +139,12 @@ def in_task(task: Column, first: Column, second: Column, blocks: int = BLOCKS) -
 def candidate_pairs(index: DataFrame, theta: float, meetings: int = MEETINGS, hot_postings: int = HOT_POSTINGS) -> DataFrame:
     """``(x, y)``, x < y: pairs of classes whose prefixes meet often enough to be similar."""
     rows = block_pairs(index, hot_postings)
-    a = rows.select("token", "task", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("blk").alias("bx"))
+    a = rows.select("token", "task", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("blk").alias("bx"), "blocks")
     b = rows.select("token", "task", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("blk").alias("by"))
     need = needed(theta, F.col("nx"), F.col("ny"))
     lengths = (F.col("nx") >= F.lit(theta) * F.col("ny") - 1e-9) & (F.col("ny") >= F.lit(theta) * F.col("nx") - 1e-9)
     places = (F.col("px") <= F.col("nx") - need + meetings) & (F.col("py") <= F.col("ny") - need + meetings)
-    met = a.join(b, ["token", "task"]).filter((F.col("x") < F.col("y")) & lengths & places & in_task(F.col("task"), F.col("bx"), F.col("by")))
+    met = a.join(b, ["token", "task"]).filter((F.col("x") < F.col("y")) & lengths & places & in_task(F.col("task"), F.col("bx"), F.col("by"), F.col("blocks")))
     counted = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.first(need).alias("need"))
     return counted.filter(F.col("c") >= F.least(F.col("need"), F.lit(meetings))).select("x", "y")
 
@@ -178,14 +188,31 @@ def similar_set_pairs(main: DataFrame, other: DataFrame | None = None, theta: fl
     deliveries count once, further columns are ignored, empty tables give an empty result.
     Equal sets are joined once as a class and only the result is written out by name.
     """
-    pairs, members, _ = class_pairs(main, other, theta, vocabulary)
-    members = written(members, "members")
-    a = members.select(F.col("cid").alias("x"), F.col("image_name").alias("ia"), F.col("in_main").alias("ma"))
-    b = members.select(F.col("cid").alias("y"), F.col("image_name").alias("ib"), F.col("in_main").alias("mb"))
-    across = pairs.select("x", "y").join(a, "x").join(b, "y")
-    alike = a.join(b.withColumnRenamed("y", "x"), "x").filter(F.col("ia") < F.col("ib")).select("ia", "ib", "ma", "mb")
-    named = across.select("ia", "ib", "ma", "mb").unionAll(alike).filter(F.col("ma") | F.col("mb"))
-    return named.filter(F.col("ia") != F.col("ib")).select(F.least("ia", "ib").alias("name_a"), F.greatest("ia", "ib").alias("name_b")).distinct()
+    pairs, members, classes = class_pairs(main, other, theta, vocabulary)
+    # Members of a set with very many copies are taken in blocks, so that neither their pairs nor those with another set meet in one task.
+    hot = _short(classes.filter(F.col("copies") > HOT_COPIES).select("cid", F.ceil(F.col("copies") / HOT_COPIES).cast("int").alias("blocks")))
+    members = members.join(hot, "cid", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = written(members.withColumn("blk", F.pmod(F.xxhash64("image_name"), F.col("blocks")).cast("int")), "members")
+    a = members.select(F.col("cid").alias("x"), F.col("blk").alias("bx"), F.col("image_name").alias("ia"), F.col("in_main").alias("ma"))
+    b = members.select(F.col("cid").alias("y"), F.col("blk").alias("by"), F.col("image_name").alias("ib"), F.col("in_main").alias("mb"))
+
+    def spread(ends: DataFrame, end: str, blk: str) -> DataFrame:  # one row per block of the set at this end
+        own = ends.join(hot.select(F.col("cid").alias(end), "blocks"), end, "left")
+        return own.withColumn(blk, F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+
+    across = spread(spread(pairs.select("x", "y"), "x", "bx").join(a, ["x", "bx"]), "y", "by").join(b, ["y", "by"])
+    several = members.join(classes.filter("copies > 1").select("cid"), "cid", "left_semi")
+    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(F.col("blk"), k) * F.col("blocks") + F.greatest(F.col("blk"), k))
+    rows = several.withColumn("task", F.explode(tasks))
+    one = rows.select("cid", "task", "blocks", F.col("blk").alias("bx"), F.col("image_name").alias("ia"), F.col("in_main").alias("ma"))
+    two = rows.select("cid", "task", F.col("blk").alias("by"), F.col("image_name").alias("ib"), F.col("in_main").alias("mb"))
+    alike = one.join(two, ["cid", "task"]).filter((F.col("ia") < F.col("ib")) & in_task(F.col("task"), F.col("bx"), F.col("by"), F.col("blocks")))
+    named = across.select("ia", "ib", "ma", "mb").unionAll(alike.select("ia", "ib", "ma", "mb")).filter(F.col("ma") | F.col("mb"))
+    named = named.filter(F.col("ia") != F.col("ib")).select(F.least("ia", "ib").alias("name_a"), F.greatest("ia", "ib").alias("name_b"))
+    # Pairs of sets are unique, so pairs of names are, unless a name lies in both tables.
+    if other is None or main.select("image_name").join(other.select("image_name"), "image_name", "left_semi").isEmpty():
+        return named
+    return named.distinct()
 
 
 def set_classes_with_links(main: DataFrame, other: DataFrame | None = None, theta: float = 0.5) -> DataFrame:
