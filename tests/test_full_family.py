@@ -1,6 +1,5 @@
-"""The collision queries with the full family, against their SQL twins drawn from it."""
+"""The incremental index uses the full family of sketches."""
 
-import glob
 import os
 
 import pytest
@@ -10,24 +9,6 @@ from tests.conftest import TESTDATA
 pytestmark = pytest.mark.skipif(not os.path.isdir(TESTDATA), reason="no test tables here")
 
 
-@pytest.mark.parametrize("name", ["minhash_weighted", "sketches", "sketch_bins", "collision_clusters", "seen_before", "collision_pairs"])
-def test_full_family(spark, name):
-    import duckdb
-
-    from wordmosaic.plans import catalogue, oracle
-
-    sql = oracle.ORACLE[name]
-    for f in (catalogue.STEP, catalogue.WEIGHTED_STEP):
-        sql = sql.replace(oracle._functions(f), oracle._functions(catalogue.FULL)).replace(oracle._choices(f), oracle._choices(catalogue.FULL))
-    con = duckdb.connect()
-    for p in glob.glob(f"{TESTDATA}/*.parquet"):
-        con.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
-    found, want = catalogue.QUERIES[f"{name}_full"](spark, TESTDATA), con.sql(sql)
-    columns = sorted(want.columns)
-    assert columns == sorted(found.columns)
-    assert sorted(map(tuple, found.select(columns).collect())) == sorted(want.select(*columns).fetchall())
-
-
 def test_stream_has_the_full_family(spark, monkeypatch):
     from wordmosaic.plans import catalogue
     from wordmosaic.streaming.sketch_index import SketchIndex

@@ -50,12 +50,22 @@ def root_matrix(descriptors: DataFrame) -> DataFrame:
     return rows.select("image_name", "desc_id", "divisor", F.transform("descriptor", lambda x: F.sqrt(F.abs(x.cast("double")) / F.col("divisor"))).alias("descriptor"))
 
 
+def rooted() -> Column:
+    """``descriptor`` in root form as doubles: rows of ``kind`` sift are transformed, others are so already."""
+    return F.when(F.col("kind") == "sift", root_vector(F.col("descriptor"))).otherwise(F.transform("descriptor", lambda x: x.cast("double")))
+
+
+def root_form(descriptors: DataFrame, dim: int = 128) -> DataFrame:
+    """``(vec_id, v)``: one usable vector per id in root form, as stored numbers (of differing rows the smallest)."""
+    rows = descriptors.filter(is_usable(F.col("descriptor"), dim) & F.col("vec_id").isNotNull()).select("vec_id", rooted().alias("v"))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
 def quantised(descriptors: DataFrame, dim: int = 128) -> DataFrame:
     """``(vec_id, image_name, desc_id, x, y, q)``: one usable vector per id in root form, as integers.
 
     Integer entries make distances exact and equal in every engine. Rows delivered twice
     count once (of differing ones the smallest vector), null ids are left out.
     """
-    root = F.when(F.col("kind") == "sift", root_vector(F.col("descriptor"))).otherwise(F.transform("descriptor", lambda x: x.cast("double")))
-    rows = descriptors.filter(is_usable(F.col("descriptor"), dim) & F.col("vec_id").isNotNull()).select("vec_id", "image_name", "desc_id", "x", "y", F.transform(root, lambda z: F.floor(z * STEPS).cast("int")).alias("q"))
+    rows = descriptors.filter(is_usable(F.col("descriptor"), dim) & F.col("vec_id").isNotNull()).select("vec_id", "image_name", "desc_id", "x", "y", F.transform(rooted(), lambda z: F.floor(z * STEPS).cast("int")).alias("q"))
     return rows.groupBy("vec_id").agg(*(F.min(c).alias(c) for c in ("image_name", "desc_id", "x", "y", "q")))

@@ -6,17 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmosaic.operators.centers import MAX_BROADCAST_ENTRIES, as_lists, matrix, nearest, nearest_center
+from wordmosaic.operators.runs import whole_runs
 from wordmosaic.session import written
 
 
 def first_centers(points: DataFrame, k: int) -> DataFrame:
-    """The vectors of the ``k`` smallest ids as centres 0 to k-1."""
-    rows = points.orderBy("id").limit(k).select("id", "v").collect()
-    return points.sparkSession.createDataFrame([(c, [float(x) for x in r["v"]]) for c, r in enumerate(rows)], "cid int, center array<double>")
+    """The vectors of the ``k`` smallest ids as centres 0 to k-1; they are numbered where they are sorted, not on the driver."""
+    first = points.orderBy("id").limit(k).withColumn("cid", F.row_number().over(Window.orderBy("id")) - 1)
+    return written(first.select(F.col("cid").cast("int").alias("cid"), F.col("v").cast("array<double>").alias("center")), "centers")
 
 
 def random_centers(points: DataFrame, k: int, dim: int, seed: int = 0) -> DataFrame:
@@ -32,22 +33,21 @@ def assign(points: DataFrame, centers: DataFrame) -> DataFrame:
 
 def _sum_pass(c: np.ndarray, cids: np.ndarray, before: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, count, same, cost = np.zeros_like(c), np.zeros(len(c), np.int64), 0, 0.0
+        total, count, same = np.zeros_like(c), np.zeros(len(c), np.int64), 0
         where = np.arange(len(c))
         for batch in batches:
             x = matrix(batch.column(0))
-            at, d2 = nearest(x, c, where)
+            at, _ = nearest(x, c, where)
             order = np.argsort(at, kind="stable")
             start = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0]) if len(at) else np.zeros(0, int)
             if len(start):
                 total[at[order][start]] += np.add.reduceat(x[order], start, axis=0)
             count += np.bincount(at, minlength=len(c))
-            cost += float(d2.sum())
             if before is not None:
                 same += int((nearest(x, before, where)[0] == at).sum())
         used = count > 0
         n = int(used.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(cids[used].astype(np.int32)), pa.array(count[used]), as_lists(total[used], pa.float64()), pa.array([same if k == 0 else 0 for k in range(n)], pa.int64()), pa.array([cost if k == 0 else 0.0 for k in range(n)])], names=["cid", "n", "total", "same", "cost"])
+        yield pa.RecordBatch.from_arrays([pa.array(cids[used].astype(np.int32)), pa.array(count[used]), as_lists(total[used], pa.float64()), pa.array([same if k == 0 else 0 for k in range(n)], pa.int64())], names=["cid", "n", "total", "same"])
 
     return run
 
@@ -56,31 +56,43 @@ def step(points: DataFrame, centers: DataFrame, truncate: bool = False, before:
     """New centres after one assignment, and the number of vectors assigned as by ``before``.
 
     The mean of each centre's vectors; a centre without any keeps its place; with ``truncate``
-    means are cut to whole numbers. Sums are combined in each task (one row per centre and
-    task); a centre set too large to broadcast goes through block joins instead.
+    means are cut to whole numbers. The size of the centres is looked at before they are fetched:
+    a set small enough is broadcast and sums are made in each task; a larger one goes through
+    block joins. Either way the sums are added up by centre and stay in the cluster.
     """
-    spark = points.sparkSession
-    table = centers.orderBy("cid").toArrow()
-    c, cids = matrix(table.column("center")), table.column("cid").to_numpy()
-    if c.size > MAX_BROADCAST_ENTRIES:
+    size = centers.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("center")).alias("d")).first()
+    if (size["n"] or 0) * (size["d"] or 0) > MAX_BROADCAST_ENTRIES:
         who = nearest_center(points, centers)
-        dims = points.join(who, "id").select("cid", F.posexplode("v").alias("k", "x"))
-        mean = dims.groupBy("cid", "k").agg(F.avg("x").alias("m")).groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("ms"))
-        value = F.transform("ms.m", lambda x: F.floor(x).cast("double")) if truncate else F.col("ms.m")
-        new = centers.join(mean, "cid", "left").select("cid", F.coalesce(value, "center").alias("center"))
+        parts = points.join(who, "id").select("cid", F.lit(1).cast("long").alias("n"), F.col("v").cast("array<double>").alias("total"), F.lit(0).cast("long").alias("same"))
         same = None if before is None else who.join(nearest_center(points, before).select("id", F.col("cid").alias("old")), "id").filter("cid = old").count()
-        return written(new, "centers"), same
-    old = None if before is None else matrix(before.orderBy("cid").toArrow().column("center"))
-    parts = points.select("v").mapInArrow(_sum_pass(c, cids, old), "cid int, n long, total array<double>, same long, cost double")
-    dims = parts.select("cid", "n", "same", F.posexplode("total").alias("k", "s"))
-    summed = dims.groupBy("cid", "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("same").alias("same"))
-    new, same = c.copy(), 0
-    for cid, k, s, n, sm in summed.collect():  # no more rows than the broadcast matrix has entries
-        row = int(np.searchsorted(cids, cid))
-        new[row, k] = np.floor(s / n) if truncate else s / n
-        same += sm if k == 0 else 0
-    made = spark.createDataFrame([(int(i), row.tolist()) for i, row in zip(cids, new, strict=True)], "cid int, center array<double>")
-    return made, (None if before is None else same)
+    else:
+        table = centers.orderBy("cid").toArrow()
+        c, cids = matrix(table.column("center")), table.column("cid").to_numpy()
+        old = None if before is None else matrix(before.orderBy("cid").toArrow().column("center"))
+        parts = points.select("v").mapInArrow(_sum_pass(c, cids, old), SUMS)
+        same = None
+    # Sums of a batch of rows first, so that a centre with very many vectors is no task of its own.
+    summed = parts.select("cid", "n", "total", "same").mapInArrow(_added, SUMS).repartition("cid").sortWithinPartitions("cid").mapInArrow(_added, SUMS)
+    summed = written(summed, "sums")
+    mean = F.transform("total", lambda x: F.floor(x / F.col("n")).cast("double") if truncate else x / F.col("n"))
+    new = written(centers.join(summed.select("cid", mean.alias("mean")), "cid", "left").select("cid", F.coalesce("mean", "center").alias("center")), "centers")
+    if before is not None and same is None:
+        same = summed.agg(F.coalesce(F.sum("same"), F.lit(0))).first()[0]
+    return new, same
+
+
+SUMS = "cid int, n long, total array<double>, same long"
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by centre: of the rows of a batch, or of all rows of a centre where they are sorted."""
+    ordered = (b.sort_by("cid") for b in batches)
+    for table in whole_runs(ordered, ["cid"]):
+        cid = table.column("cid").to_numpy()
+        start = np.flatnonzero(np.r_[True, cid[1:] != cid[:-1]])
+        add = lambda name: np.add.reduceat(table.column(name).to_numpy(), start)  # noqa: B023, E731
+        total = np.add.reduceat(matrix(table.column("total")), start, axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(cid[start]), pa.array(add("n")), as_lists(total, pa.float64()), pa.array(add("same"))], names=["cid", "n", "total", "same"])
 
 
 def kmeans(points: DataFrame, centers: DataFrame, max_iter: int | None = None, truncate: bool = False) -> tuple[DataFrame, int]:

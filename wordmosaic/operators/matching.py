@@ -11,14 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmosaic.operators.centers import matrix
-from wordmosaic.session import hot_join, written
+from wordmosaic.session import heavy_keys, hot_join, written
 
 #: Descriptors of a block.
 BLOCK = 1_024
+#: Pairs of one block above which they are spread over several tasks: each carries a block of vectors.
+HOT_PAIRS = 256
 METHODS = ("brute_force", "ratio")
 
 
@@ -75,8 +77,9 @@ def two_nearest(pairs: DataFrame, descriptors: DataFrame, hamming: bool = False,
     both = hot_join(left, _counted(blocks), "image_name").select("a", F.col("image_name").alias("b"), "ba", F.explode("blks").alias("bb"))
     key = lambda n, k: F.concat_ws("#", F.col(n), F.col(k).cast("string"))
     whole = blocks.select(key("image_name", "blk").alias("key"), "idx", "vs")
-    with_a = hot_join(both.withColumn("key", key("a", "ba")), whole, "key").select("a", "b", "bb", F.col("idx").alias("ia"), F.col("vs").alias("va"))
-    with_b = hot_join(with_a.withColumn("key", key("b", "bb")), whole, "key", hot=[]).select("a", "b", "ia", "va", F.col("idx").alias("ib"), F.col("vs").alias("vb"))
+    with_a = hot_join(both.withColumn("key", key("a", "ba")), whole, "key", hot_rows=HOT_PAIRS).select("a", "b", "bb", F.col("idx").alias("ia"), F.col("vs").alias("va"))
+    hot_b = heavy_keys(both.select(key("b", "bb").alias("key")), "key", HOT_PAIRS) or False  # told from the pairs, before any vector is sent
+    with_b = hot_join(with_a.withColumn("key", key("b", "bb")), whole, "key", hot=hot_b).select("a", "b", "ia", "va", F.col("idx").alias("ib"), F.col("vs").alias("vb"))
     near = with_b.mapInArrow(_two_nearest_pass(hamming), "a string, b string, side int, idx long, near long, d2 double")
     best = near.groupBy("a", "b", "side", "idx").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "near"))), 1, 2).alias("two"))
     return best.select("a", "b", "side", "idx", F.posexplode("two").alias("rank", "t")).select("a", "b", "side", "idx", (F.col("rank") + 1).alias("rank"), F.col("t.near").alias("near"), F.col("t.d2").alias("d2"))
@@ -87,6 +90,12 @@ def _counted(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("image_name").agg(F.collect_list("blk").alias("blks"))
 
 
+def by_distance(found: DataFrame) -> DataFrame:
+    """Matches with ``rank``, their place in the order of distance within the pair, from 1 (ties: smaller numbers)."""
+    order = Window.partitionBy("a", "b").orderBy("d2", "query_idx", "train_idx")
+    return found.withColumn("rank", F.row_number().over(order))
+
+
 def mutual_matches(near: DataFrame) -> DataFrame:
     """``(a, b, query_idx, train_idx, d2)``: pairs of descriptors that are each other's nearest."""
     q = near.filter("side = 0 and rank = 1").select("a", "b", F.col("idx").alias("query_idx"), F.col("near").alias("train_idx"), "d2")

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmosaic.operators.centers import as_lists, matrix, nearest
+from wordmosaic.operators.runs import whole_runs
 from wordmosaic.session import written
 
 #: Sub-vectors and codes per sub-vector by default.
@@ -21,9 +22,25 @@ MAX_BROADCAST_CODES = 4_000_000
 
 
 def training_sample(points: DataFrame, n: int = TRAIN_SIZE, seed: int = 0) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, chosen by a hash of the id: the same in any engine and partitioning."""
+    """Exactly ``min(n, rows)`` rows, chosen by a hash of the id: the same in any engine and partitioning.
+
+    Counts by the first hexadecimal digits of the hash tell below which of them all rows are in, so
+    that only the rows of one such prefix are sorted, not the sample.
+    """
     key = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed))))
-    return points.withColumn("_k", key).orderBy("_k", "id").limit(n).drop("_k")
+    keyed = points.withColumn("_k", key)
+    head = F.substring("_k", 1, 4)
+    counts = keyed.groupBy(head.alias("h")).count().orderBy("h").collect()  # 65,536 rows at most
+    whole, edge, left = "", None, n
+    for h, c in counts:
+        if c > left:
+            edge = h
+            break
+        whole, left = h, left - c
+    if edge is None:
+        return points
+    last = keyed.filter(head == edge).orderBy("_k", "id").limit(left)
+    return keyed.filter(head <= whole).unionAll(last).drop("_k")
 
 
 def _train(ks: int, iters: int):
@@ -93,36 +110,58 @@ def distance_table_rows(codebook: DataFrame) -> DataFrame:
     return a.join(b, "m").select("m", "code_a", "code_b", d2.alias("d2"))
 
 
-def _nearest_codes(tables: np.ndarray, vocab: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    who, far = np.empty(len(codes), np.int64), np.empty(len(codes))
-    rows = max(1, 8_000_000 // max(len(vocab), 1))
-    for s in range(0, len(codes), rows):
-        part = codes[s : s + rows]
-        d = np.zeros((len(part), len(vocab)))
-        for m in range(codes.shape[1]):
-            d += tables[m][part[:, m]][:, vocab[:, m]]
-        who[s : s + rows] = d.argmin(axis=1)
-        far[s : s + rows] = d[np.arange(len(part)), who[s : s + rows]]
-    return who, far
+def _decode(book: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return np.concatenate([book[m][codes[:, m]] for m in range(len(book))], axis=1)
 
 
-def _predict_pass(tables: np.ndarray, vocab: np.ndarray, words: np.ndarray):
+def _predict_pass(book: np.ndarray, vocab: np.ndarray, words: np.ndarray):
+    centres = _decode(book, vocab)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            who, d2 = _nearest_codes(tables, vocab, matrix(batch.column(1), np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words[who].astype(np.int32)), pa.array(d2)], names=["id", "word", "d2"])
+            who, d2 = nearest(_decode(book, matrix(batch.column(1), np.int64)), centres, words)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(who.astype(np.int32)), pa.array(d2)], names=["id", "pq", "word", "d2"])
 
     return run
 
 
-def predict(codes: DataFrame, vocab: DataFrame, codebook: DataFrame) -> DataFrame:
-    """``(id, word, d2)``: the nearest code centre of ``vocab (word, pq)`` by the sub-space tables (ties: smallest word)."""
-    table = vocab.orderBy("word").toArrow() if vocab.count() <= MAX_BROADCAST_CODES else None
-    if table is None:
+def _predicted(codes: DataFrame, vocab: DataFrame, codebook: DataFrame) -> DataFrame:
+    if vocab.count() > MAX_BROADCAST_CODES:
         raise ValueError("the vocabulary is too large to broadcast; decode it and use nearest_center, which joins blocks")
+    table = vocab.orderBy("word").toArrow()
     kind = codes.schema["id"].dataType.simpleString()
-    fn = _predict_pass(distance_tables(codebook_array(codebook)), matrix(table.column("pq"), np.int64), table.column("word").to_numpy())
-    return codes.select("id", "pq").mapInArrow(fn, f"id {kind}, word int, d2 double")
+    fn = _predict_pass(codebook_array(codebook), matrix(table.column("pq"), np.int64), table.column("word").to_numpy())
+    return codes.select("id", "pq").mapInArrow(fn, f"id {kind}, pq array<int>, word int, d2 double")
+
+
+def predict(codes: DataFrame, vocab: DataFrame, codebook: DataFrame) -> DataFrame:
+    """``(id, word, d2)``: the nearest code centre of ``vocab (word, pq)`` (ties: smallest word).
+
+    The sum of the sub-space table entries of two codes is the squared distance of the decoded
+    vectors, so one matrix product over a block of vectors and the vocabulary gives all of them.
+    """
+    return _predicted(codes, vocab, codebook).select("id", "word", "d2")
+
+
+def _update_pass(tables: np.ndarray):
+    """Per word and sub-space the code of least total distance: one product of its histogram with the distance table."""
+    subspaces, ks, _ = tables.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, ["word"]):
+            word = table.column("word").to_numpy()
+            start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            row = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(word)]))
+            m, code, n = (table.column(c).to_numpy() for c in ("m", "code_b", "n"))
+            new = np.zeros((len(start), subspaces), np.int32)
+            for k in range(subspaces):
+                own = m == k
+                hist = np.zeros((len(start), ks))
+                hist[row[own], code[own]] = n[own]
+                new[:, k] = (hist @ tables[k]).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(word[start]), as_lists(new, pa.int32())], names=["word", "new"])
+
+    return run
 
 
 def code_kmeans_step(codes: DataFrame, vocab: DataFrame, codebook: DataFrame) -> DataFrame:
@@ -131,17 +170,15 @@ def code_kmeans_step(codes: DataFrame, vocab: DataFrame, codebook: DataFrame) ->
     The update needs only how often each code occurs per centre and sub-space, a histogram
     that is combined on the map side. Ties go to the smallest code; an empty centre stays.
     """
-    who = predict(codes, vocab, codebook).select("id", "word")
-    hist = codes.join(who, "id").select("word", F.posexplode("pq").alias("m", "code_b")).groupBy("word", "m", "code_b").agg(F.count(F.lit(1)).alias("n"))
-    cost = hist.join(distance_table_rows(codebook), ["m", "code_b"]).groupBy("word", "m", "code_a").agg(F.sum(F.col("n") * F.col("d2")).alias("c"))
-    best = cost.groupBy("word", "m").agg(F.min(F.struct("c", "code_a")).alias("b")).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("m", F.col("b.code_a").alias("code")))).alias("p"))
-    return vocab.withColumnRenamed("pq", "_old").join(best, "word", "left").select("word", F.coalesce("p.code", "_old").alias("pq"))
+    hist = _predicted(codes, vocab, codebook).select("word", F.posexplode("pq").alias("m", "code_b")).groupBy("word", "m", "code_b").agg(F.count(F.lit(1)).alias("n"))
+    best = hist.repartition("word").sortWithinPartitions("word").mapInArrow(_update_pass(distance_tables(codebook_array(codebook))), "word int, new array<int>")
+    return vocab.join(best, "word", "left").select("word", F.coalesce("new", "pq").alias("pq"))
 
 
 def first_code_centers(codes: DataFrame, k: int) -> DataFrame:
     """The codes of the ``k`` smallest ids as the first vocabulary."""
-    rows = codes.orderBy("id").limit(k).collect()
-    return codes.sparkSession.createDataFrame([(w, list(r["pq"])) for w, r in enumerate(rows)], "word int, pq array<int>")
+    first = codes.orderBy("id").limit(k).withColumn("word", F.row_number().over(Window.orderBy("id")) - 1)
+    return written(first.select(F.col("word").cast("int").alias("word"), "pq"), "vocab")
 
 
 def code_kmeans(codes: DataFrame, k: int, codebook: DataFrame, iters: int = 5, vocab: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordmosaic.functions.names import image_name
-from wordmosaic.session import hot_join
+from wordmosaic.operators.skew import pairs_within
+from wordmosaic.session import hot_join, written
 
 #: Bands by default: below the first irrelevant, from the second on duplicate, similar between.
 MIN_SIM, MAX_SIM = 0.045, 0.35
@@ -73,6 +74,23 @@ def jaccard_of_pairs(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return both.select("a", F.col("image_name").alias("b"), "sim", jaccard(F.col("wa"), F.col("words")).alias("jaccard"))
 
 
+def all_pairs(bags: DataFrame, least: float = MIN_SIM) -> DataFrame:
+    """``(a, b, sim)``, a < b: every two images of ``bags`` with an exact similarity of ``least`` or more, without any index.
+
+    What a search may be measured against: images that share a word meet in the list of that word
+    (a word of very many images in pairs of blocks), and the shared words are counted. Images are
+    numbered first and only the result is written out by name.
+    """
+    images = written(bags.select(F.monotonically_increasing_id().alias("no"), "image_name", F.array_distinct("words").alias("words")), "images")
+    lists = images.select("no", F.explode("words").alias("word"))
+    shared = pairs_within(lists, ["word"], "no").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    sizes = images.select("no", "image_name", F.size("words").alias("n"))
+    side = lambda c: sizes.select(F.col("no").alias(c), F.col("image_name").alias(f"name_{c}"), F.col("n").alias(f"n_{c}"))
+    sim = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
+    near = shared.join(side("a"), "a").join(side("b"), "b").withColumn("sim", sim).filter(F.col("sim") >= least)
+    return near.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"), "sim")
+
+
 def lowest(pairs: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` pairs of least score (ties by name)."""
     return pairs.orderBy("sim", "a", "b").limit(n)

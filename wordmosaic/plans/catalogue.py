@@ -15,12 +15,13 @@ from wordmosaic.session import shared_dir, written
 from wordmosaic.sources.tables import quantised_centers, read
 from wordmosaic.streaming.sketch_index import SketchIndex
 
-#: The full sketch sizes, and a smaller family for the queries that show single steps.
+#: The full sketch sizes, and a smaller family for the one query whose rows are all hash values.
 FULL = minhash.HashFamily(512, 512, 3, seed=0)
 STEP = minhash.HashFamily(64, 32, 3, seed=0)
-WEIGHTED_STEP = minhash.HashFamily(16, 8, 3, seed=0)
 VOCABULARY = 1_000_000
 KMEANS_K, PQ_CODES, PQ_ITERS, PQ_WORDS, SAMPLE = 16, 16, 2, 32, 1_000
+#: The vocabulary that is learned at full size: codes, training sample and rounds as by default, words for tables of this size.
+LEARNED = VocabularyConfig(vocab_size=4_096)
 MODEL = [[1.0, 0.0, 13.0], [0.0, 1.0, -7.0], [0.0, 0.0, 1.0]]
 
 
@@ -128,6 +129,11 @@ def idf_weights_distinct(s, d):
     return bow.word_weights(_multiset(s, d), distinct=True)
 
 
+def all_word_weights(s, d):
+    found = bow.all_word_weights(_multiset(s, d), VOCABULARY)
+    return found.groupBy(F.floor(F.col("word") / 1_000).alias("block")).agg(F.sum("cnt").alias("cnt"), F.count_if(F.col("cnt") == 0).alias("n_unused"), F.min("weight").alias("least"), F.max("weight").alias("most"))
+
+
 def unused_words(s, d):
     return bow.unused_words(_multiset(s, d), VOCABULARY).groupBy(F.floor(F.col("word") / 10_000).alias("block")).agg(F.count(F.lit(1)).alias("n_unused"))
 
@@ -138,11 +144,11 @@ def minhash_signature(s, d):
 
 def minhash_weighted(s, d):
     bags = _multiset(s, d)
-    return minhash.weighted_signatures(bags, bow.word_weights(bags), WEIGHTED_STEP).select("image_name", F.posexplode("signature").alias("i", "word"))
+    return minhash.weighted_signatures(bags, bow.word_weights(bags), FULL).select("image_name", F.posexplode("signature").alias("i", "word"))
 
 
 def sketches(s, d):
-    return minhash.sketches(minhash.signatures(_sets(s, d), STEP), STEP)
+    return minhash.sketches(minhash.signatures(_sets(s, d), FULL), FULL)
 
 
 def sketch_bins(s, d):
@@ -158,40 +164,36 @@ def seen_before(s, d):
 
 
 def collision_pairs(s, d):
-    return collisions.similar_pairs(_distinct(s, d), STEP).select("a", "b")
-
-
-def minhash_weighted_full(s, d):
-    bags = _multiset(s, d)
-    return minhash.weighted_signatures(bags, bow.word_weights(bags), FULL).select("image_name", F.posexplode("signature").alias("i", "word"))
-
-
-def sketches_full(s, d):
-    return minhash.sketches(minhash.signatures(_sets(s, d), FULL), FULL)
+    return collisions.similar_pairs(_distinct(s, d), FULL).select("a", "b")
 
 
-def sketch_bins_full(s, d):
-    return collisions.sketch_bins(sketches_full(s, d))
+def similar_pairs(s, d):
+    return collisions.similar_pairs(_distinct(s, d), FULL)
 
 
-def collision_clusters_full(s, d):
-    return collisions.collision_clusters(written(sketches_full(s, d), "sketches"))
+def weighted_similar_pairs(s, d):
+    return collisions.similar_pairs(_distinct(s, d), FULL, bow.word_weights(_multiset(s, d)))
 
 
-def seen_before_full(s, d):
-    return collisions.seen_before(written(sketches_full(s, d), "sketches"))
+def jaccard_allpairs(s, d):
+    return similarity.all_pairs(_distinct(s, d))
 
 
-def collision_pairs_full(s, d):
-    return collisions.similar_pairs(_distinct(s, d), FULL).select("a", "b")
+def pair_recall(s, d):
+    bags = written(_distinct(s, d), "sets")
+    exact = similarity.all_pairs(bags)
+    found = collisions.similar_pairs(bags, FULL).select("a", "b", F.lit(1).cast("long").alias("met"))
+    by = exact.join(found, ["a", "b"], "left").groupBy(similarity.band(F.col("sim")).alias("band"))
+    return by.agg(F.count(F.lit(1)).alias("n_pairs"), F.coalesce(F.sum("met"), F.lit(0)).alias("n_found"))
 
 
-def similar_pairs(s, d):
-    return collisions.similar_pairs(_distinct(s, d), FULL)
+def cluster_first_images(s, d):
+    return collisions.first_images(written(sketches(s, d), "sketches"))
 
 
-def weighted_similar_pairs(s, d):
-    return collisions.similar_pairs(_distinct(s, d), FULL, bow.word_weights(_multiset(s, d)))
+def weighted_jaccard(s, d):
+    found = similarity.weighted_jaccard(_pairs(s, d).join(_sets(s, d).select(F.col("image_name").alias("a")), "a", "left_semi").join(_sets(s, d).select(F.col("image_name").alias("b")), "b", "left_semi"), _sets(s, d), bow.word_weights(_multiset(s, d)))
+    return found.select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 def jaccard_of_pairs(s, d):
@@ -239,6 +241,17 @@ def nearest_center(s, d):
     return found.select(F.col("id").alias("vec_id"), "cid", "d2")
 
 
+def nearest_center_float(s, d):
+    points = vectors.root_form(read(s, d, "descriptors")).select(F.col("vec_id").alias("id"), "v")
+    whole = read(s, d, "centers").filter(vectors.is_usable(F.col("center")) & F.col("cid").isNotNull()).groupBy("cid").agg(F.min("center").alias("center"))
+    found = centers.nearest_center(points, whole)
+    return found.select(F.col("id").alias("vec_id"), "cid", F.round(F.sqrt("d2"), 4).alias("dist"))
+
+
+def ann_recall(s, d):
+    return centers.ann_recall(_points(s, d), quantised_centers(read(s, d, "centers")))
+
+
 def ann_center(s, d):
     found = centers.approximate_nearest_center(_points(s, d), quantised_centers(read(s, d, "centers")))
     return found.select(F.col("id").alias("vec_id"), "cid", "d2")
@@ -311,6 +324,10 @@ def mutual_nn_matches(s, d):
     return _matched(s, d, "brute_force")
 
 
+def matches_by_distance(s, d):
+    return matching.by_distance(_matched(s, d, "brute_force"))
+
+
 def ratio_test_matches(s, d):
     return _matched(s, d, "ratio")
 
@@ -336,7 +353,7 @@ def resize_dims(s, d):
 
 def vocabulary_bags(s, d):
     points = _vectors(s, d).select(F.col("vec_id").alias("id"), "image_name", F.col("q").alias("v"))
-    made = pipeline.vocabulary(points, f"{shared_dir(s)}/vocabulary-{uuid.uuid4().hex}", VocabularyConfig(vocab_size=256, pq_codes=64, pq_train_size=5_000, pq_train_iters=5, iterations=2))
+    made = pipeline.vocabulary(points, f"{shared_dir(s)}/vocabulary-{uuid.uuid4().hex}", LEARNED)
     return pipeline.bags_from_vocabulary(points, made["vocab"], made["codebook"])
 
 
@@ -352,11 +369,10 @@ def seen_before_stream(s, d):
 
 _STEPS = (
     bow_multiset, bow_set, distinct_sets, set_membership, name_normalise, descriptor_counts, descriptor_totals, positional_assign, name_order_check,
-    rootsift_vector, rootsift_matrix, idf_weights, idf_weights_distinct, unused_words, minhash_signature, minhash_weighted, sketches, sketch_bins,
-    collision_clusters, seen_before, collision_pairs, minhash_weighted_full, sketches_full, sketch_bins_full, collision_clusters_full, seen_before_full,
-    collision_pairs_full, similar_pairs, weighted_similar_pairs, jaccard_of_pairs, pair_bands, pair_band_counts,
-    pairs_in_band, top_pairs_asc, band_sample, top_verified, verified_sorted, verified_page, verified_min_inliers, nearest_center, ann_center,
+    rootsift_vector, rootsift_matrix, idf_weights, idf_weights_distinct, all_word_weights, unused_words, minhash_signature, minhash_weighted, sketches, sketch_bins,
+    collision_clusters, seen_before, collision_pairs, similar_pairs, weighted_similar_pairs, jaccard_allpairs, pair_recall, jaccard_of_pairs, weighted_jaccard, cluster_first_images, pair_bands, pair_band_counts,
+    pairs_in_band, top_pairs_asc, band_sample, top_verified, verified_sorted, verified_page, verified_min_inliers, nearest_center, nearest_center_float, ann_center, ann_recall,
     kmeans_step, kmeans_3iter, kmeans_unchanged, codebook_sample, pq_train, pq_encode, pq_distance_table, pqkmeans_iter, pq_assign_bow,
-    mutual_nn_matches, ratio_test_matches, known_model_inliers, ransac_verify, ransac_affine_top, resize_dims, vocabulary_bags, seen_before_stream,
+    mutual_nn_matches, matches_by_distance, ratio_test_matches, known_model_inliers, ransac_verify, ransac_affine_top, resize_dims, vocabulary_bags, seen_before_stream,
 )
 QUERIES = {f.__name__: f for f in _STEPS}

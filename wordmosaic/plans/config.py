@@ -87,8 +87,9 @@ def config_hash(config) -> str:
     return hashlib.blake2b(json.dumps(asdict(config), sort_keys=True).encode(), digest_size=6).hexdigest()
 
 
-def arguments(description: str) -> argparse.Namespace:
+def arguments(description: str, steps: tuple[str, ...]) -> argparse.Namespace:
     parser = argparse.ArgumentParser(description=description)
+    parser.add_argument("--step", choices=steps, default=steps[0])
     parser.add_argument("--config", required=True)
     parser.add_argument("--data", required=True)
     parser.add_argument("--out", required=True)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from wordmosaic.functions.vectors import STEPS
+from wordmosaic.operators.bow import UNUSED_WEIGHT
 from wordmosaic.operators.minhash import PRIME, HashFamily
-from wordmosaic.plans.catalogue import FULL, KMEANS_K, MODEL, PQ_CODES, PQ_ITERS, PQ_WORDS, SAMPLE, STEP, VOCABULARY, WEIGHTED_STEP
+from wordmosaic.plans.catalogue import FULL, KMEANS_K, MODEL, PQ_CODES, PQ_ITERS, PQ_WORDS, SAMPLE, STEP, VOCABULARY
 
 _VALID = f"list_filter(words, lambda w: w IS NOT NULL AND w >= 0 AND w < {VOCABULARY})"
 BAGS = f"""
@@ -74,9 +75,12 @@ sig AS (SELECT image_name, i, arg_min(word, {{'v': -ln(((a * word + b) % {PRIME}
         FROM (SELECT image_name, word, cnt FROM (SELECT image_name, unnest(words) AS word FROM {source}) JOIN counts USING (word)), fn GROUP BY image_name, i)"""
 
 
-_SKETCHES = """sk AS (SELECT x.image_name, k, x.h AS s0, y.h AS s1, z.h AS s2 FROM ch
-  JOIN sig x ON x.i = i0 JOIN sig y ON y.i = i1 AND y.image_name = x.image_name JOIN sig z ON z.i = i2 AND z.image_name = x.image_name)"""
+_SKETCHES = """listed AS (SELECT image_name, list(h ORDER BY i) AS l FROM sig GROUP BY image_name),
+sk AS (SELECT image_name, k, l[i0 + 1] AS s0, l[i1 + 1] AS s1, l[i2 + 1] AS s2 FROM listed, ch)"""
 _FOUND = """found AS (SELECT DISTINCT x.image_name AS a, y.image_name AS b FROM sk x JOIN sk y ON x.k = y.k AND x.s0 = y.s0 AND x.s1 = y.s1 AND x.s2 = y.s2 AND x.image_name < y.image_name)"""
+_ALL = """posting AS (SELECT image_name, len(words) AS n, unnest(words) AS word FROM distinct_sets),
+alike AS (SELECT x.image_name AS a, y.image_name AS b, count(*) / (any_value(x.n + y.n) - count(*))::DOUBLE AS sim
+  FROM posting x JOIN posting y ON x.word = y.word AND x.image_name < y.image_name GROUP BY x.image_name, y.image_name)"""
 _SCORED = """SELECT a, b, o / (len(x.words) + len(y.words) - o)::DOUBLE AS sim
   FROM (SELECT a, b, count(*) AS o FROM (SELECT a, b, unnest(list_intersect(x.words, y.words)) FROM found JOIN distinct_sets x ON x.image_name = a JOIN distinct_sets y ON y.image_name = b) GROUP BY a, b)
   JOIN distinct_sets x ON x.image_name = a JOIN distinct_sets y ON y.image_name = b"""
@@ -157,14 +161,27 @@ ORACLE = {
     "idf_weights_distinct": f"WITH {BAGS} SELECT word, count(*) AS cnt, 1.0::DOUBLE / count(*) AS weight FROM (SELECT unnest(words) AS word FROM sets) GROUP BY word",
     "unused_words": f"WITH {BAGS} SELECT w // 10000 AS block, count(*) AS n_unused FROM range({VOCABULARY}) t(w) WHERE w NOT IN (SELECT unnest(words) FROM bags) GROUP BY 1",
     "minhash_signature": f"WITH {BAGS}, {_signature(STEP, 'sets')} SELECT image_name, i, h FROM sig",
-    "minhash_weighted": f"WITH {BAGS}, {_weighted_signature(WEIGHTED_STEP, 'sets')} SELECT image_name, i, h AS word FROM sig",
-    "sketches": f"WITH {BAGS}, {_signature(STEP, 'sets')}, {_SKETCHES} SELECT image_name, k, s0, s1, s2 FROM sk",
-    "sketch_bins": f"WITH {BAGS}, {_signature(STEP, 'sets')}, {_SKETCHES} SELECT k, s0, s1, s2, count(*) AS n_images, min(image_name) AS first_image FROM sk GROUP BY k, s0, s1, s2 HAVING count(*) > 1",
-    "collision_clusters": f"WITH {BAGS}, {_signature(STEP, 'sets')}, {_SKETCHES} SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY k, s0, s1, s2) AS n_images FROM sk) WHERE n_images > 1",
-    "seen_before": f"WITH {BAGS}, {_signature(STEP, 'sets')}, {_SKETCHES} SELECT image_name, bool_or(k > 1) AS seen FROM (SELECT image_name, row_number() OVER (PARTITION BY k, s0, s1, s2 ORDER BY image_name) AS k FROM sk) GROUP BY image_name",
-    "collision_pairs": f"WITH {BAGS}, {_signature(STEP, 'distinct_sets')}, {_SKETCHES}, {_FOUND} SELECT a, b FROM found",
+    "minhash_weighted": f"WITH {BAGS}, {_weighted_signature(FULL, 'sets')} SELECT image_name, i, h AS word FROM sig",
+    "sketches": f"WITH {BAGS}, {_signature(FULL, 'sets')}, {_SKETCHES} SELECT image_name, k, s0, s1, s2 FROM sk",
+    "sketch_bins": f"WITH {BAGS}, {_signature(FULL, 'sets')}, {_SKETCHES} SELECT k, s0, s1, s2, count(*) AS n_images, min(image_name) AS first_image FROM sk GROUP BY k, s0, s1, s2 HAVING count(*) > 1",
+    "collision_clusters": f"WITH {BAGS}, {_signature(FULL, 'sets')}, {_SKETCHES} SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY k, s0, s1, s2) AS n_images FROM sk) WHERE n_images > 1",
+    "seen_before": f"WITH {BAGS}, {_signature(FULL, 'sets')}, {_SKETCHES} SELECT image_name, bool_or(k > 1) AS seen FROM (SELECT image_name, row_number() OVER (PARTITION BY k, s0, s1, s2 ORDER BY image_name) AS k FROM sk) GROUP BY image_name",
+    "collision_pairs": f"WITH {BAGS}, {_signature(FULL, 'distinct_sets')}, {_SKETCHES}, {_FOUND} SELECT a, b FROM found",
     "similar_pairs": f"WITH {BAGS}, {_signature(FULL, 'distinct_sets')}, {_SKETCHES}, {_FOUND} {_SCORED}",
     "weighted_similar_pairs": f"WITH {BAGS}, {_weighted_signature(FULL, 'distinct_sets')}, {_SKETCHES}, {_FOUND} {_SCORED}",
+    "jaccard_allpairs": f"WITH {BAGS}, {_ALL} SELECT a, b, sim FROM alike WHERE sim >= 0.045",
+    "pair_recall": f"""WITH {BAGS}, {_signature(FULL, 'distinct_sets')}, {_SKETCHES}, {_FOUND}, {_ALL}
+        SELECT {_BAND} AS band, count(*) AS n_pairs, count(f.a) AS n_found FROM alike x LEFT JOIN found f ON f.a = x.a AND f.b = x.b WHERE sim >= 0.045 GROUP BY 1""",
+    "cluster_first_images": f"""WITH {BAGS}, {_signature(FULL, 'sets')}, {_SKETCHES}
+        SELECT k, s0, s1, s2, count(*) AS n_images, array_to_string(list(image_name ORDER BY image_name)[1:5], ',') AS images FROM sk GROUP BY k, s0, s1, s2 HAVING count(*) > 1""",
+    "weighted_jaccard": f"""WITH {BAGS}, {PAIRS}, weight AS (SELECT word, 1 / count(*)::DOUBLE AS w FROM (SELECT unnest(words) AS word FROM bags) GROUP BY word),
+        entry AS (SELECT image_name, word, w FROM (SELECT image_name, unnest(words) AS word FROM sets) JOIN weight USING (word)),
+        own AS (SELECT image_name, sum(w) AS w FROM entry GROUP BY image_name),
+        both_have AS (SELECT a, b, sum(x.w) AS s FROM pairs_clean JOIN entry x ON x.image_name = a JOIN entry y ON y.image_name = b AND y.word = x.word GROUP BY a, b)
+        SELECT a, b, round(coalesce(s, 0) / (x.w + y.w - coalesce(s, 0)), 6) AS sim FROM pairs_clean JOIN own x ON x.image_name = a JOIN own y ON y.image_name = b LEFT JOIN both_have USING (a, b)""",
+    "all_word_weights": f"""WITH {BAGS}, used AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(words) AS word FROM bags) GROUP BY word)
+        SELECT w // 1000 AS block, sum(coalesce(cnt, 0))::BIGINT AS cnt, count(*) FILTER (cnt IS NULL) AS n_unused, min(coalesce(1 / cnt::DOUBLE, {UNUSED_WEIGHT}::DOUBLE)) AS least, max(coalesce(1 / cnt::DOUBLE, {UNUSED_WEIGHT}::DOUBLE)) AS most
+        FROM range({VOCABULARY}) t(w) LEFT JOIN used ON word = w GROUP BY 1""",
     "jaccard_of_pairs": f"""WITH {BAGS}, {PAIRS} SELECT a, b, sim, len(list_intersect(x.words, y.words)) / len(list_distinct(list_concat(x.words, y.words)))::DOUBLE AS jaccard
         FROM pairs_clean JOIN sets x ON x.image_name = a JOIN sets y ON y.image_name = b""",
     "pair_bands": f"WITH {PAIRS} SELECT a, b, sim, {_BAND} AS band FROM pairs_clean",
@@ -178,6 +195,10 @@ ORACLE = {
     "verified_min_inliers": f"WITH {VERIFIED} SELECT a, b, sim, n_inliers FROM verified_clean WHERE n_inliers >= 50",
     "nearest_center": f"""WITH {VECTORS}, c AS (SELECT cid, min(list_transform(center, lambda z: floor(z * {STEPS})::INTEGER))::DOUBLE[128] AS c FROM centers WHERE cid IS NOT NULL AND {_usable("center")} GROUP BY cid),
         n AS (SELECT vec_id, min({{'d': array_distance(q, c), 'c': cid}}) AS m FROM p, c GROUP BY vec_id) SELECT vec_id, m.c AS cid, round(m.d ** 2) AS d2 FROM n""",
+    "nearest_center_float": f"""WITH r AS (SELECT vec_id, min(r)::DOUBLE[128] AS q FROM (SELECT vec_id, CASE WHEN kind = 'sift' THEN {_ROOT} ELSE list_transform(descriptor, lambda z: z::DOUBLE) END AS r
+          FROM descriptors WHERE vec_id IS NOT NULL AND {_usable("descriptor")}) GROUP BY vec_id),
+        c AS (SELECT cid, min(center)::DOUBLE[128] AS c FROM centers WHERE cid IS NOT NULL AND {_usable("center")} GROUP BY cid),
+        n AS (SELECT vec_id, min({{'d': array_distance(q, c), 'c': cid}}) AS m FROM r, c GROUP BY vec_id) SELECT vec_id, m.c AS cid, round(m.d, 4) AS dist FROM n""",
     "kmeans_step": f"WITH {VECTORS}, {_kmeans(0)} {_center_rows('c1')}",
     "kmeans_3iter": f"WITH {VECTORS}, {_kmeans(2)} {_center_rows('c3')}",
     "kmeans_unchanged": f"WITH {VECTORS}, {_kmeans(2)} SELECT count(*) FILTER (x.cid = y.cid) AS n_unchanged, count(*) AS n_points FROM a1 x JOIN a2 y USING (vec_id)",
@@ -190,6 +211,7 @@ ORACLE = {
         wa1 AS (SELECT vec_id, arg_min(word, {{'d': d, 'w': word}}) AS word FROM (SELECT e.vec_id, w.word, sum(d2) AS d FROM enc e JOIN wc1 w USING (m) JOIN dt ON dt.m = e.m AND code_a = e.code AND code_b = w.code GROUP BY 1, 2) GROUP BY vec_id)
         SELECT image_name, count(*) AS n_words, array_to_string(list(word ORDER BY word), ',') AS words FROM (SELECT DISTINCT image_name, word FROM wa1 JOIN v USING (vec_id)) GROUP BY image_name""",
     "mutual_nn_matches": f"WITH {VECTORS}, {PAIRS}, {MATCHED} SELECT a, b, query_idx, train_idx, d2 FROM mutual",
+    "matches_by_distance": f"WITH {VECTORS}, {PAIRS}, {MATCHED} SELECT a, b, query_idx, train_idx, d2, row_number() OVER (PARTITION BY a, b ORDER BY d2, query_idx, train_idx)::INTEGER AS rank FROM mutual",
     "ratio_test_matches": f"""WITH {VECTORS}, {PAIRS}, {MATCHED} SELECT x.a, x.b, x.query_idx, x.train_idx, x.d2
         FROM ranked x JOIN ranked y ON x.a = y.a AND x.b = y.b AND x.query_idx = y.query_idx AND x.rq = 1 AND y.rq = 2 WHERE 100 * x.d2 < 49 * y.d2""",
     "known_model_inliers": f"""WITH {VECTORS}, {PAIRS}, {MATCHED}, mapped AS (SELECT a, b, {_MAPPED}, y.x::DOUBLE AS tx, y.y::DOUBLE AS ty FROM mutual

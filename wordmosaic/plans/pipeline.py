@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wordmosaic.operators import bow as bags
 from wordmosaic.operators import geometry, matching, pq
+from wordmosaic.operators.centers import nearest_center
 from wordmosaic.operators.collisions import similar_pairs
 from wordmosaic.operators.kmeans import first_centers, kmeans
 from wordmosaic.operators.minhash import HashFamily
@@ -14,6 +15,7 @@ from wordmosaic.operators.similarity import band_counts, in_band, lowest, most_i
 from wordmosaic.plans.config import PairConfig, VocabularyConfig, arguments, config_hash, read_config
 from wordmosaic.plans.stages import stage
 from wordmosaic.session import shipped
+from wordmosaic.sources.files import word_bags
 
 
 def similarity_estimation(words: DataFrame, config: PairConfig = PairConfig()) -> DataFrame:  # noqa: B008
@@ -60,13 +62,41 @@ def bags_from_vocabulary(points: DataFrame, vocab: DataFrame, codebook: DataFram
     return pq.bags_from_codes(pq.encode(points, codebook), points, vocab, codebook)
 
 
+def learned_bags(spark: SparkSession, folder: str, out: str, config: VocabularyConfig = VocabularyConfig()) -> dict[str, DataFrame]:  # noqa: B008
+    """A vocabulary learned from ``descriptors`` in ``folder``, and the bags of its images by it, each stage written under ``out``."""
+    from wordmosaic.functions.vectors import quantised
+
+    d = quantised(spark.read.parquet(f"{folder}/descriptors.parquet"))
+    points = d.select(F.col("vec_id").alias("id"), "image_name", F.col("q").alias("v"))
+    made = vocabulary(points, out, config)
+    key = config_hash(config)
+    if "centers" in made:
+        words = nearest_center(points, made["centers"]).join(points.select("id", "image_name"), "id").select("image_name", F.col("cid").alias("word")).distinct()
+        bag = stage(spark, out, "bow", key, lambda: words.groupBy("image_name").agg(F.array_sort(F.collect_list("word")).alias("words")))
+    else:
+        bag = stage(spark, out, "bow", key, lambda: bags_from_vocabulary(points, made["vocab"], made["codebook"]))
+    return {**made, "bow": bag}
+
+
+def filed_bags(spark: SparkSession, folder: str, out: str, config: PairConfig = PairConfig()) -> dict[str, DataFrame]:  # noqa: B008
+    """Bags of the word files in ``folder`` and the weights of their words, written under ``out``."""
+    key = config_hash(config)
+    bag = stage(spark, out, "bow", key, lambda: word_bags(spark, folder))
+    weights = stage(spark, out, "word_weights", key, lambda: bags.word_weights(bags.bow_multiset(bag, config.vocab_size)))
+    return {"bow": bag, "word_weights": weights}
+
+
+STEPS = {"pairs": (seed_pairs, PairConfig), "vocabulary": (learned_bags, VocabularyConfig), "bags": (filed_bags, PairConfig)}
+
+
 def main() -> None:
-    """``python -m wordmosaic.plans.pipeline --config FILE --data FOLDER --out FOLDER``."""
-    args = arguments("Similar pairs of images, verified")
+    """``python -m wordmosaic.plans.pipeline --step pairs|vocabulary|bags --config FILE --data FOLDER --out FOLDER``."""
+    args = arguments("Similar pairs, a learned vocabulary with its bags, or bags of word files", tuple(STEPS))
     spark = SparkSession.builder.appName("wordmosaic").getOrCreate()
     shipped(spark)
-    for name, table in seed_pairs(spark, args.data, args.out, read_config(args.config, PairConfig)).items():
-        if name not in ("pairs", "verified"):
+    run, config = STEPS[args.step]
+    for name, table in run(spark, args.data, args.out, read_config(args.config, config)).items():
+        if name in ("bands", "lowest", "most_inliers"):
             table.show(truncate=False)
 
 

@@ -13,19 +13,23 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one key above which a join spreads that key over several tasks.
 HOT_ROWS = 50_000
-#: At most so many keys are treated as hot, whatever the input: the list of them is a literal of the plan.
+#: Hot keys up to which their list comes to the driver and into the plan; more stay a table.
 MAX_HOT_KEYS = 1_000
-#: Tasks a hot key is spread over.
+#: Tasks one hot key is spread over where a caller asks for a fixed number, and at most in a join.
 SALTS = 16
+MOST_SALTS = 4_096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; set only where it is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only in local mode, where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="wordmosaic-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -74,15 +78,32 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
     return [r[0] for r in counts.collect() if r[0] is not None]
 
 
-def hot_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS, hot: list | None = None) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """``(key, _salts)`` of the keys with more than ``hot_rows`` rows, to be broadcast; None if there are none.
+
+    Each listed key has more than ``hot_rows`` rows, so the list is that much shorter than ``df``.
+    """
+    counts = df.groupBy(key).count().filter((F.col("count") > hot_rows) & F.col(key).isNotNull())
+    salts = F.least(F.ceil(F.col("count") / hot_rows), F.lit(MOST_SALTS)).cast("int").alias("_salts")
+    some = counts.select(key, salts).limit(MAX_HOT_KEYS + 1).collect()
+    if not some:
+        return None
+    if len(some) > MAX_HOT_KEYS:
+        return F.broadcast(written(counts.select(key, salts), "hot"))
+    schema = T.StructType([df.schema[key], T.StructField("_salts", T.IntegerType())])
+    return F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in some], schema))
+
+
+def hot_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS, hot: DataFrame | bool | None = None) -> DataFrame:
     """Join ``many`` to ``one`` (unique on ``key``) where ``many`` may hold a third of its rows under one key.
 
-    Rows of hot keys get a salt, and ``one`` repeats only those few rows once per salt.
+    Rows of hot keys get a salt, as many as their number asks for, and ``one`` repeats only those few
+    rows once per salt. ``hot`` is a result of :func:`heavy_keys`, or False where none can be hot.
     """
-    hot = hot_keys(many, key, hot_rows) if hot is None else hot
-    if not hot:
+    hot = heavy_keys(many, key, hot_rows) if hot is None else hot
+    if hot is False or hot is None:
         return many.join(one, key, how)
-    is_hot = F.col(key).isin(hot)
-    salted = many.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
-    spread = one.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    salted = many.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*many.columns), salts).cast("int")).drop("_salts")
+    spread = one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return salted.join(spread, [key, "_salt"], how).drop("_salt")

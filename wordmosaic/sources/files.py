@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,18 +28,22 @@ class _Range(InputPartition):
 
 class _RecordReader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
         self.split = int(options.get("splitRecords", SPLIT_RECORDS))
 
-    def partitions(self) -> list[InputPartition]:
-        import os
+    def _file(self) -> tuple[FileSystem, str]:
+        """The file system of the path: local without a scheme, else by it (hdfs, s3, gs, file)."""
+        return FileSystem.from_uri(self.path) if "://" in self.path else (LocalFileSystem(), self.path.removeprefix("file:"))
 
-        n = os.path.getsize(self.path) // RECORD  # a short last record is dropped
+    def partitions(self) -> list[InputPartition]:
+        system, path = self._file()
+        n = system.get_file_info(path).size // RECORD  # a short last record is dropped
         return [_Range(k, min(k + self.split, n)) for k in range(0, n, self.split)] or [_Range(0, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         first, last = partition.value
-        with open(self.path, "rb") as f:
+        system, path = self._file()
+        with system.open_input_file(path) as f:
             f.seek(first * RECORD)
             for k in range(first, last, 10_000):
                 n = min(10_000, last - k)
@@ -136,6 +141,11 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """``(path, length, content)`` of the files of a folder, ordered by name where it matters to the caller."""
+    """``(path, length, content)`` of the files of a folder."""
     reader = spark.read.format("binaryFile")
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "length", "content")
+
+
+def listing(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """``(path, length)`` of the files of a folder in the order of their names; contents are not read."""
+    return files(spark, path, pattern).select("path", "length").orderBy(F.element_at(F.split("path", "/"), -1), "path")
