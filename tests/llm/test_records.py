@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 
 from tests.conftest import rows
 from wordmosaic.llm import common, groups, neardup, setjoin, termcount
+from wordmosaic.operators import runs
 from wordmosaic.session import hot_join
 
 
@@ -207,7 +208,7 @@ def test_whole_runs():
     import pyarrow as pa
 
     batches = [pa.RecordBatch.from_pydict({"k": k}) for k in ([1, 1, 2], [2], [], [2, 3], [3, 3])]
-    cut = [t.column("k").to_pylist() for t in common.whole_runs(iter(batches), ["k"])]
+    cut = [t.column("k").to_pylist() for t in runs.whole_runs(iter(batches), ["k"])]
     assert sum(cut, []) == [1, 1, 2, 2, 2, 3, 3, 3]
     assert [len({*a} & {*b}) for a, b in zip(cut, cut[1:])] == [0] * (len(cut) - 1)
 

@@ -1,10 +1,7 @@
-"""What several problems share: clean bags, Arrow helpers."""
+"""What several problems share: clean bags."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,27 +24,3 @@ def delivered_once(bow: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     clean = bow.select("image_name", F.array_sort(valid_words(F.col("words"), vocabulary)).alias("words")).filter(F.col("image_name").isNotNull())
     order = F.struct(-F.coalesce(F.size("words"), F.lit(-1)), F.col("words"))
     return clean.groupBy("image_name").agg(F.min(order).alias("_o")).select("image_name", F.col("_o.words").alias("words"))
-
-
-def whole_runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
-    """Tables cut only where ``columns`` change, from batches sorted by them: a run is never split."""
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        last = [table.column(c)[table.num_rows - 1] for c in columns]
-        lo, hi = 0, table.num_rows - 1  # first row of the last run, by bisection over the sorted rows
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if [table.column(c)[mid] for c in columns] == last:
-                hi = mid
-            else:
-                lo = mid + 1
-        if lo:
-            yield table.slice(0, lo).combine_chunks()
-        held = table.slice(lo)
-    if held is not None and held.num_rows:
-        yield held.combine_chunks()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmosaic.functions.names import image_name
-from wordmosaic.session import HOT_ROWS, dropped, hot_join, hot_keys, written
+from wordmosaic.session import HOT_ROWS, dropped, heavy_keys, hot_join, written
 
 
 def clean_edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -27,7 +27,7 @@ def _jumped(labels: DataFrame, **limit: int) -> DataFrame:
     """
     small = labels.count() <= limit.get("hot_rows", HOT_ROWS)  # then no label can be hot
     while True:
-        hot = [] if small else hot_keys(labels, "label", **limit)
+        hot = False if small else heavy_keys(labels, "label", **limit) or False
         step = labels.filter(F.col("label") != F.col("node")).select(F.col("node").alias("label"), F.col("label").alias("next"))
         after = hot_join(labels.select("node", "label"), step, "label", "left", hot=hot)
         after = written(after.select("node", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved")), "labels")

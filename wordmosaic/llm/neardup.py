@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmosaic.functions.names import image_name
-from wordmosaic.llm.common import VOCABULARY, whole_runs
+from wordmosaic.llm.common import VOCABULARY
 from wordmosaic.llm.groups import connected_groups
-from wordmosaic.llm.setjoin import HOT_POSTINGS, MEETINGS, as_sets, block_pairs, class_members, prefix_index, set_classes, verified_pairs
+from wordmosaic.llm.setjoin import BOTH, HOT_POSTINGS, MEETINGS, as_sets, block_pairs, class_members, prefix_index, set_classes, verified_pairs
+from wordmosaic.operators.runs import whole_runs
 
 #: Products held before equal pairs are added up.
 HELD = 2_000_000
@@ -38,13 +39,12 @@ def _products(theta: float, meetings: int):
         start = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, int)
         return x[start], y[start], np.add.reduceat(c, start) if len(start) else c, need[start]
 
-    def pairs(left, right, n, pos, cid, task, blk, blocks):
+    def pairs(left, right, n, pos, cid, side):
         nl, nr = n[left], n[right]
         need = np.ceil(share * (nl + nr) - 1e-9).astype(np.int32)
         ok = (nl >= theta * nr - 1e-9) & (nr >= theta * nl - 1e-9)
         ok &= (pos[left] <= nl - need + meetings) & (pos[right] <= nr - need + meetings)
-        bl, br = blk[left], blk[right]
-        ok &= task[left] == np.minimum(bl, br) * blocks[left] + np.maximum(bl, br)
+        ok &= (side[left] == BOTH) | (side[left] != side[right])
         a, b = cid[left[ok]], cid[right[ok]]
         return np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64), need[ok]
 
@@ -52,7 +52,7 @@ def _products(theta: float, meetings: int):
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for table in whole_runs(batches, ["token", "task"]):
-            token, task, cid, n, pos, blk, parts = (table.column(c).to_numpy() for c in ("token", "task", "cid", "n", "pos", "blk", "blocks"))
+            token, task, cid, n, pos, side = (table.column(c).to_numpy() for c in ("token", "task", "cid", "n", "pos", "side"))
             cut = np.flatnonzero((token[1:] != token[:-1]) | (task[1:] != task[:-1])) + 1
             end = np.repeat(np.r_[cut, len(token)], np.diff(np.r_[0, cut, len(token)]))
             after = end - np.arange(len(token)) - 1  # rows of the same column that follow
@@ -63,7 +63,7 @@ def _products(theta: float, meetings: int):
                 m = after[at:to]
                 left = np.repeat(np.arange(at, to), m)
                 right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
-                part = pairs(left, right, n, pos, cid, task, blk, parts)
+                part = pairs(left, right, n, pos, cid, side)
                 at = to
                 if len(part[0]):
                     held.append(part)

@@ -118,33 +118,43 @@ def _short(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_HOT else df
 
 
+#: Side of the rows in a task of one block alone; in a task of two blocks they have side 0 or 1.
+BOTH = 2
+
+
+def in_tasks(rows: DataFrame, item: str) -> DataFrame:
+    """Rows with ``blocks`` as rows of ``task`` and ``side``: once for every pair of blocks that holds the row's own."""
+    blk, n = F.pmod(F.xxhash64(item), F.col("blocks")).cast("int"), F.col("blocks")
+    places = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct((F.least(F.col("_blk"), k) * n + F.greatest(F.col("_blk"), k)).alias("task"), F.when(F.col("_blk") == k, BOTH).otherwise((F.col("_blk") > k).cast("int")).alias("side")))
+    placed = rows.withColumn("_blk", blk).withColumn("_p", F.explode(places))
+    return placed.withColumn("task", F.col("_p.task")).withColumn("side", F.col("_p.side").cast("byte")).drop("_p", "_blk", "blocks")
+
+
+def meet(first: Column, second: Column) -> Column:
+    """Whether two rows of a task are made a pair in it (each two rows of a token in exactly one task)."""
+    return (first == BOTH) | (first != second)
+
+
 def block_pairs(index: DataFrame, hot_postings: int = HOT_POSTINGS) -> DataFrame:
-    """``index`` with ``blk`` (a row's block), ``blocks`` (how many its token has) and ``task``.
+    """``index`` with ``task`` and ``side``: rows of a token go to one task per pair of blocks.
 
-    Rows of a token go to one task per pair of blocks, a block having about ``hot_postings`` rows
-    whatever their number.
+    A block has about ``hot_postings`` rows whatever the number of rows of the token.
     """
     hot = index.groupBy("token").count().filter(F.col("count") > hot_postings).select("token", F.ceil(F.col("count") / hot_postings).cast("int").alias("blocks"))
-    spread = index.join(_short(hot), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    spread = spread.withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    pairs_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(F.col("blk"), k) * F.col("blocks") + F.greatest(F.col("blk"), k))
-    return spread.withColumn("task", F.explode(pairs_of))
-
-
-def in_task(task: Column, first: Column, second: Column, blocks: Column) -> Column:
-    """Whether a pair of rows with these blocks is made in this task (each pair of rows in exactly one)."""
-    return task == F.least(first, second) * blocks + F.greatest(first, second)
+    hot = _short(hot)
+    usual = index.join(hot.select("token"), "token", "left_anti").withColumn("task", F.lit(0)).withColumn("side", F.lit(BOTH).cast("byte"))
+    return usual.unionByName(in_tasks(index.join(hot, "token"), "cid"))
 
 
 def candidate_pairs(index: DataFrame, theta: float, meetings: int = MEETINGS, hot_postings: int = HOT_POSTINGS) -> DataFrame:
     """``(x, y)``, x < y: pairs of classes whose prefixes meet often enough to be similar."""
     rows = block_pairs(index, hot_postings)
-    a = rows.select("token", "task", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("blk").alias("bx"), "blocks")
-    b = rows.select("token", "task", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("blk").alias("by"))
+    a = rows.select("token", "task", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("side").alias("sx"))
+    b = rows.select("token", "task", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("side").alias("sy"))
     need = needed(theta, F.col("nx"), F.col("ny"))
     lengths = (F.col("nx") >= F.lit(theta) * F.col("ny") - 1e-9) & (F.col("ny") >= F.lit(theta) * F.col("nx") - 1e-9)
     places = (F.col("px") <= F.col("nx") - need + meetings) & (F.col("py") <= F.col("ny") - need + meetings)
-    met = a.join(b, ["token", "task"]).filter((F.col("x") < F.col("y")) & lengths & places & in_task(F.col("task"), F.col("bx"), F.col("by"), F.col("blocks")))
+    met = a.join(b, ["token", "task"]).filter((F.col("x") < F.col("y")) & lengths & places & meet(F.col("sx"), F.col("sy")))
     counted = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.first(need).alias("need"))
     return counted.filter(F.col("c") >= F.least(F.col("need"), F.lit(meetings))).select("x", "y")
 
@@ -202,11 +212,10 @@ def similar_set_pairs(main: DataFrame, other: DataFrame | None = None, theta: fl
 
     across = spread(spread(pairs.select("x", "y"), "x", "bx").join(a, ["x", "bx"]), "y", "by").join(b, ["y", "by"])
     several = members.join(classes.filter("copies > 1").select("cid"), "cid", "left_semi")
-    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(F.col("blk"), k) * F.col("blocks") + F.greatest(F.col("blk"), k))
-    rows = several.withColumn("task", F.explode(tasks))
-    one = rows.select("cid", "task", "blocks", F.col("blk").alias("bx"), F.col("image_name").alias("ia"), F.col("in_main").alias("ma"))
-    two = rows.select("cid", "task", F.col("blk").alias("by"), F.col("image_name").alias("ib"), F.col("in_main").alias("mb"))
-    alike = one.join(two, ["cid", "task"]).filter((F.col("ia") < F.col("ib")) & in_task(F.col("task"), F.col("bx"), F.col("by"), F.col("blocks")))
+    rows = in_tasks(several.drop("blk"), "image_name")
+    one = rows.select("cid", "task", F.col("side").alias("sx"), F.col("image_name").alias("ia"), F.col("in_main").alias("ma"))
+    two = rows.select("cid", "task", F.col("side").alias("sy"), F.col("image_name").alias("ib"), F.col("in_main").alias("mb"))
+    alike = one.join(two, ["cid", "task"]).filter((F.col("ia") < F.col("ib")) & meet(F.col("sx"), F.col("sy")))
     named = across.select("ia", "ib", "ma", "mb").unionAll(alike.select("ia", "ib", "ma", "mb")).filter(F.col("ma") | F.col("mb"))
     named = named.filter(F.col("ia") != F.col("ib")).select(F.least("ia", "ib").alias("name_a"), F.greatest("ia", "ib").alias("name_b"))
     # Pairs of sets are unique, so pairs of names are, unless a name lies in both tables.
