@@ -27,7 +27,7 @@ def library():
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=200))
 def test_any_text(text):
-    assert tokenize.encoder(MODEL)([text]) == [library()(text)]
+    assert tokenize.encoder(tokenize.model_text(MODEL))([text]) == [library()(text)]
 
 
 @needs_model
@@ -47,18 +47,18 @@ def test_odd_texts_and_order(spark):
 
 @needs_model
 def test_round_trip():
-    m = tokenize.merges_of(MODEL)
+    m = tokenize.merges_of(tokenize.model_text(MODEL))
     parts = {i: bytes([b]) for b, i in enumerate(m.of_byte)}
     for (a, b), (_, new) in sorted(m.rank.items(), key=lambda x: x[1][0]):
         parts[new] = parts[a] + parts[b]
     text = "Der Wechselkurs fiel um 3,5 % — “naïve” \n\n tokens\ttoo 🙂"
-    assert b"".join(parts[i] for i in tokenize.encoder(MODEL)([text])[0]).decode() == text
+    assert b"".join(parts[i] for i in tokenize.encoder(tokenize.model_text(MODEL))([text])[0]).decode() == text
 
 
 @needs_model
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(tokenize, "REMEMBERED", 3)
-    encode = tokenize.encoder(MODEL)
+    encode = tokenize.encoder(tokenize.model_text(MODEL))
     lib = library()
     for t in ("one two three four five", "six seven", "one two"):
         assert encode([t]) == [lib(t)]

@@ -40,19 +40,18 @@ LEAST_WEIGHT = 2
 
 REDIRECT = re.compile(r"\s*#\s*(redirect(ion)?|weiterleitung|redirecci[oó]n)\b", re.I)
 #: A letter beside a sign or digit that belongs in no word: the text is damaged, and terms are also found with letters replaced.
-DAMAGE = re.compile(r"[^\W\d_][#@$%~^¤�]|[#@$%~^¤�][^\W\d_]|[^\W\d_]\d[^\W\d_]")
+DAMAGE = re.compile(r"[#@$%~^¤\ufffd](?:(?<=[^\W\d_].)|(?=[^\W\d_]))|\d(?<=[^\W\d_].)(?=[^\W\d_])")
 #: Shortest term looked for in damaged form.
 LEAST_DAMAGED = 8
 #: How sentences about the page itself speak, in the four languages: hatnotes, titles, pictures, moves of the page.
-ABOUT_PAGE = re.compile(
-    r"\b(?:not (?:to )?be confused with|of the same name|other uses|disambiguation|redirects? (?:here|to)|"
-    r"(?:this|the) (?:page|article|stub|entry)|of this (?:page|article)|(?:earlier|former|previous|old) titles?|"
-    r"(?:picture|image|photo|photograph|drawing) (?:of|showing)|(?:shown|displayed|uploaded|placed) here|by mistake)\b|"
-    r"\b(?:nicht zu verwechseln|verwechselt werden mit|Begriffsklärung|dieser? (?:Seite|Artikels?)|frühere[rn]? Titel|(?:ein|das|dieses) Bild|hier gezeigt|versehentlich)\b|"
-    r"\b(?:ne (?:pas|doit pas être) confond\w+|du même nom|homonymie|cette page|cet article|ancien titre|titre précédent|une? (?:image|photo) d|montrée? ici|par erreur)|"
-    r"\b(?:no debe confundirse|no confundir|del mismo nombre|desambiguación|esta página|este artículo|título anterior|antiguo título|una (?:imagen|foto) de|mostrad[oa] aquí|por error)\b",
-    re.I,
-)
+ABOUT_PAGE = (
+    "not be confused with|not to be confused with|of the same name|other uses|disambiguation|redirects here|redirect here|redirects to|this page|the page|this article|"
+    "the article|this stub|of this page|of this article|earlier title|former title|previous title|old title|earlier titles|former titles|picture of|image of|photo of|"
+    "photograph of|drawing of|picture showing|image showing|photo showing|shown here|displayed here|uploaded here|by mistake|"
+    "nicht zu verwechseln|verwechselt werden mit|begriffsklärung|diese seite|dieser seite|dieser artikel|dieses artikels|früherer titel|frühere titel|ein bild|dieses bild|hier gezeigt|versehentlich|"
+    "ne pas confondre|ne doit pas être confondu|ne doit pas être confondue|du même nom|homonymie|cette page|cet article|ancien titre|titre précédent|une image de|une photo de|montré ici|montrée ici|par erreur|"
+    "no debe confundirse|no confundir|del mismo nombre|desambiguación|esta página|este artículo|título anterior|antiguo título|una imagen de|una foto de|mostrado aquí|mostrada aquí|por error"
+).split("|")
 #: Function words by which a text's language is told.
 FUNCTION_WORDS = {
     "en": "the of and to in is was were has have had that for with as by from been than not which its an be are on",
@@ -69,6 +68,27 @@ SPACE = re.compile(r"&nbsp;|[^\S\n]+")
 END = re.compile(r"[.!?…](?=[\"'»”)\]]*\s)|$")
 
 
+def _phrases() -> ahocorasick.Automaton:
+    made = ahocorasick.Automaton()
+    for phrase in ABOUT_PAGE:
+        made.add_word(phrase, len(phrase))
+    made.make_automaton()
+    return made
+
+
+PAGE_PHRASES = _phrases()
+
+
+def about_page(sentence: str) -> bool:
+    """Whether a sentence speaks about the page itself: it holds one of the phrases on word bounds."""
+    low = sentence.lower()
+    for end, n in PAGE_PHRASES.iter(low):
+        start = end - n + 1
+        if not (start and low[start - 1].isalnum()) and not (end + 1 < len(low) and low[end + 1].isalnum()):
+            return True
+    return False
+
+
 def sentences(text: str | None) -> list[str]:
     """The prose sentences of a text with markup, without those about the page itself.
 
@@ -107,7 +127,7 @@ def sentences(text: str | None) -> list[str]:
         for m in END.finditer(line):
             s = line[at : m.end()].strip()
             at = m.end()
-            if len(s) > 3 and not ABOUT_PAGE.search(s):
+            if len(s) > 3 and not about_page(s):
                 found.append(s)
     return found
 

@@ -12,18 +12,20 @@ earlier chunks of the task are looked up, not replayed.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the public tokenizer files lie unless a path is given.
+#: Where the driver finds the public tokenizer files unless a path is given.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern by which this family of tokenizers cuts text before merging.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -46,9 +48,8 @@ def byte_symbols() -> list[str]:
 class Merges:
     """A byte-level BPE vocabulary: ids of the bytes, and for each pair of ids its rank and merged id."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, text: str) -> None:
+        model = json.loads(text)["model"]
         vocab = model["vocab"]
         self.of_byte = [vocab[s] for s in byte_symbols()]
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
@@ -124,13 +125,24 @@ class Merges:
 
 
 @lru_cache(maxsize=4)
-def merges_of(path: str) -> Merges:
-    return Merges(path)
+def model_text(path: str) -> str:
+    """The vocabulary file as the driver reads it; it is sent to the workers, which need no file of their own."""
+    return Path(path).read_text(encoding="utf-8")
 
 
-def encoder(path: str):
-    """A function from texts (None among them) to lists of ids, remembering words between calls."""
-    merges = merges_of(path)
+_BUILT: dict[str, Merges] = {}  # of a worker: one per vocabulary
+
+
+def merges_of(text: str) -> Merges:
+    name = hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
+    if name not in _BUILT:
+        _BUILT[name] = Merges(text)
+    return _BUILT[name]
+
+
+def encoder(text: str):
+    """A function from texts (None among them) to lists of ids by the vocabulary ``text``, remembering words between calls."""
+    merges = merges_of(text)
     cut = regex.compile(WORD_PATTERN).findall
     known: dict[str, list[int]] = {}
 
@@ -164,9 +176,9 @@ def chunks(texts: list[str | None], size: int = CHUNK_CHARS) -> Iterator[tuple[i
         yield begin, len(texts)
 
 
-def _id_pass(path: str, only_counts: bool):
+def _id_pass(model, only_counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(model.value)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in chunks(texts):
@@ -177,6 +189,11 @@ def _id_pass(path: str, only_counts: bool):
     return run
 
 
+def _sent(rows: DataFrame, path: str):
+    """The vocabulary as a broadcast: its size is that of a tokenizer, some megabytes."""
+    return rows.sparkSession.sparkContext.broadcast(model_text(path))
+
+
 def token_ids(documents: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json", key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, ids)``: the token ids of every row's text, without special tokens.
 
@@ -186,14 +203,14 @@ def token_ids(documents: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k
     """
     rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_id_pass(tokenizer, False), f"doc_id {kind}, ids array<int>")
+    return rows.mapInArrow(_id_pass(_sent(rows, tokenizer), False), f"doc_id {kind}, ids array<int>")
 
 
 def token_counts(documents: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json", key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_tokens)``: the number of ids :func:`token_ids` gives."""
     rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_id_pass(tokenizer, True), f"doc_id {kind}, n_tokens long")
+    return rows.mapInArrow(_id_pass(_sent(rows, tokenizer), True), f"doc_id {kind}, n_tokens long")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
