@@ -85,7 +85,7 @@ def heavy_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame |
     """
     counts = df.groupBy(key).count().filter((F.col("count") > hot_rows) & F.col(key).isNotNull())
     salts = F.least(F.ceil(F.col("count") / hot_rows), F.lit(MOST_SALTS)).cast("int").alias("_salts")
-    some = counts.select(key, salts).limit(MAX_HOT_KEYS + 1).collect()
+    some = counts.orderBy(F.desc("count")).limit(MAX_HOT_KEYS + 1).select(key, salts).collect()  # one job, not a search part by part
     if not some:
         return None
     if len(some) > MAX_HOT_KEYS:
