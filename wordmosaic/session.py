@@ -11,7 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +56,12 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_with(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`written`, and aggregates of ``df`` that are taken while it is written, without a job of their own."""
+    seen = Observation()
+    return written(df.observe(seen, *(m.alias(k) for k, m in metrics.items())), name), seen.get
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files behind a ``written`` table that nothing reads any more."""
     spark = df.sparkSession
