@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmosaic.functions.names import image_name
-from wordmosaic.session import HOT_ROWS, dropped, heavy_keys, hot_join, written
+from wordmosaic.session import HOT_ROWS, dropped, heavy_keys, hot_join, written_with
 
 
 def clean_edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -20,21 +20,23 @@ def clean_edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"), (u.isNull() | v.isNull() | (u == v)).alias("_bad")).filter(~F.col("_bad")).select("u", "v").distinct()
 
 
-def _jumped(labels: DataFrame, **limit: int) -> DataFrame:
+ROWS = F.count(F.lit(1))
+
+
+def _jumped(labels: DataFrame, rows: int, **limit: int) -> DataFrame:
     """``labels(node, label)`` with every label replaced by the root of its chain.
 
     Each jump doubles the length of the chains looked through; it is written, and the last is the one that moves nothing.
     """
-    small = labels.count() <= limit.get("hot_rows", HOT_ROWS)  # then no label can be hot
     while True:
-        hot = False if small else heavy_keys(labels, "label", **limit) or False
+        hot = False if rows <= limit.get("hot_rows", HOT_ROWS) else heavy_keys(labels, "label", **limit) or False
         step = labels.filter(F.col("label") != F.col("node")).select(F.col("node").alias("label"), F.col("label").alias("next"))
         after = hot_join(labels.select("node", "label"), step, "label", "left", hot=hot)
-        after = written(after.select("node", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved")), "labels")
+        after, seen = written_with(after.select("node", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved")), "labels", moved=F.count_if("moved"))
         dropped(labels)
-        labels = after
-        if labels.filter("moved").isEmpty():
-            return labels.select("node", "label")
+        labels = after.select("node", "label")
+        if not seen["moved"]:
+            return labels
 
 
 def connected_groups(pairs: DataFrame, a: str, b: str, hot_rows: int | None = None) -> DataFrame:
@@ -48,17 +50,19 @@ def connected_groups(pairs: DataFrame, a: str, b: str, hot_rows: int | None = No
     shuffle, and relabelling spreads hot keys over several tasks.
     """
     limit = {} if hot_rows is None else {"hot_rows": hot_rows}
-    edges = written(clean_edges(pairs, a, b), "edges")
+    edges, seen = written_with(clean_edges(pairs, a, b), "edges", rows=ROWS)
     rounds: list[DataFrame] = []
-    while not edges.isEmpty():
+    while seen["rows"]:
         both = edges.select(F.col("u").alias("node"), F.col("v").alias("near")).unionAll(edges.select(F.col("v").alias("node"), F.col("u").alias("near")))
         lowest = both.groupBy("node").agg(F.min("near").alias("near"))
-        labels = _jumped(written(lowest.select("node", F.least("node", "near").alias("label")), "labels"), **limit)
+        first, nodes_seen = written_with(lowest.select("node", F.least("node", "near").alias("label")), "labels", rows=ROWS)
+        labels = _jumped(first, nodes_seen["rows"], **limit)
         rounds.append(labels)
+        hot = {"hot": False} if seen["rows"] <= limit.get("hot_rows", HOT_ROWS) else limit  # no key of so few rows can be hot
         # Contract: ends become roots; edges inside one tree vanish.
-        left = hot_join(edges.withColumnRenamed("u", "node"), labels, "node", **limit).select(F.col("label").alias("u"), F.col("v").alias("node"))
-        nodes = hot_join(left, labels, "node", **limit).select("u", F.col("label").alias("v"))
-        after = written(clean_edges(nodes, "u", "v"), "edges")
+        left = hot_join(edges.withColumnRenamed("u", "node"), labels, "node", **hot).select(F.col("label").alias("u"), F.col("v").alias("node"))
+        nodes = hot_join(left, labels, "node", **hot).select("u", F.col("label").alias("v"))
+        after, seen = written_with(clean_edges(nodes, "u", "v"), "edges", rows=ROWS)
         dropped(edges)
         edges = after
     if not rounds:
