@@ -172,7 +172,7 @@ def test_subjects(spark):
     assert rows(subjects.subject_areas(twice)) == [(0, "law")]
 
 
-#: Plain sentences written without a look at the test tables.
+#: Plain sentences, not drawn from the test tables.
 PLAIN = [
     ("science", "The physicist measured the mass of the electron."),
     ("software", "The program was written in Java and runs on Linux."),
