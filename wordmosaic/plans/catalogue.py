@@ -160,7 +160,7 @@ def collision_clusters(s, d):
 
 
 def seen_before(s, d):
-    return collisions.seen_before(written(sketches(s, d), "sketches"))
+    return collisions.images_seen_before(_sets(s, d), FULL)
 
 
 def collision_pairs(s, d):
