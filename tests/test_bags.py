@@ -96,7 +96,7 @@ def test_collisions(spark):
     sk = minhash.sketches(minhash.signatures(bags(spark), FAMILY), FAMILY)
     found = rows(collisions.collision_pairs(sk))
     assert ("a", "c") in found and not any("d" in p for p in found)
-    assert rows(collisions.collision_pairs(sk, hot_rows=1, blocks=2)) == found
+    assert rows(collisions.collision_pairs(sk, hot_rows=1)) == found
     seen = dict(rows(collisions.seen_before(sk)))
     assert seen["a"] is False and seen["c"] is True
     bins = collisions.sketch_bins(sk).count()
@@ -128,7 +128,7 @@ def test_pairs_within_blocks(spark):
     data = spark.createDataFrame([(1, f"i{k:03}") for k in range(60)] + [(2, "i000"), (2, "i001")], "k int, item string")
     plain = rows(pairs_within(data, ["k"], "item"))
     assert len(plain) == 60 * 59 // 2 + 1
-    assert rows(pairs_within(data, ["k"], "item", hot_rows=10, blocks=4)) == plain
+    assert rows(pairs_within(data, ["k"], "item", hot_rows=10)) == plain
 
 
 def test_jaccard_and_bands(spark):
