@@ -7,7 +7,7 @@ round is written to the shared folder, until no label changes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmosaic.functions.names import image_name
@@ -20,7 +20,8 @@ def clean_edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"), (u.isNull() | v.isNull() | (u == v)).alias("_bad")).filter(~F.col("_bad")).select("u", "v").distinct()
 
 
-ROWS = F.count(F.lit(1))
+def _rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def _jumped(labels: DataFrame, rows: int, **limit: int) -> DataFrame:
@@ -50,19 +51,19 @@ def connected_groups(pairs: DataFrame, a: str, b: str, hot_rows: int | None = No
     shuffle, and relabelling spreads hot keys over several tasks.
     """
     limit = {} if hot_rows is None else {"hot_rows": hot_rows}
-    edges, seen = written_with(clean_edges(pairs, a, b), "edges", rows=ROWS)
+    edges, seen = written_with(clean_edges(pairs, a, b), "edges", rows=_rows())
     rounds: list[DataFrame] = []
     while seen["rows"]:
         both = edges.select(F.col("u").alias("node"), F.col("v").alias("near")).unionAll(edges.select(F.col("v").alias("node"), F.col("u").alias("near")))
         lowest = both.groupBy("node").agg(F.min("near").alias("near"))
-        first, nodes_seen = written_with(lowest.select("node", F.least("node", "near").alias("label")), "labels", rows=ROWS)
+        first, nodes_seen = written_with(lowest.select("node", F.least("node", "near").alias("label")), "labels", rows=_rows())
         labels = _jumped(first, nodes_seen["rows"], **limit)
         rounds.append(labels)
         hot = {"hot": False} if seen["rows"] <= limit.get("hot_rows", HOT_ROWS) else limit  # no key of so few rows can be hot
         # Contract: ends become roots; edges inside one tree vanish.
         left = hot_join(edges.withColumnRenamed("u", "node"), labels, "node", **hot).select(F.col("label").alias("u"), F.col("v").alias("node"))
         nodes = hot_join(left, labels, "node", **hot).select("u", F.col("label").alias("v"))
-        after, seen = written_with(clean_edges(nodes, "u", "v"), "edges", rows=ROWS)
+        after, seen = written_with(clean_edges(nodes, "u", "v"), "edges", rows=_rows())
         dropped(edges)
         edges = after
     if not rounds:
