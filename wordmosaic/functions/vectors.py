@@ -57,7 +57,8 @@ def rooted() -> Column:
 
 def root_form(descriptors: DataFrame, dim: int = 128) -> DataFrame:
     """``(vec_id, v)``: one usable vector per id in root form, as stored numbers (of differing rows the smallest)."""
-    rows = descriptors.filter(is_usable(F.col("descriptor"), dim) & F.col("vec_id").isNotNull()).select("vec_id", rooted().alias("v"))
+    stored = descriptors.filter(is_usable(F.col("descriptor"), dim) & F.col("vec_id").isNotNull()).select("vec_id", "kind", "descriptor")
+    rows = stored.repartition("vec_id").select("vec_id", rooted().alias("v"))  # travels as stored, half as wide as its roots
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
