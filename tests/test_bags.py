@@ -163,3 +163,22 @@ def test_lookup_table_is_the_seeded_stream():
     assert (table == rng.uniform(size=(4, 6))).all() and (choices == rng.randint(0, 4, size=(3, 2))).all()
     weighted, _ = minhash.lookup_table(4, 6, 3, 2, weights=np.full(6, 0.5), seed=0)
     assert np.allclose(weighted, -np.log(table) / 0.5)
+
+
+def test_all_pairs_move_no_pairs(spark):
+    """In blocks or in one, with common and rare words, null words and large bags: as by sets; and no shuffle of pairs."""
+    rng = np.random.RandomState(8)
+    data = {f"i{k:03}": [*rng.choice(6, 1 + k % 5, replace=False).tolist(), *rng.randint(6, 400, k % 40).tolist(), *([None] * (k % 7 == 0))] for k in range(150)}
+    made = spark.createDataFrame([*data.items(), ("none", [])], "image_name string, words array<int>")
+    sets = {k: set(v) for k, v in data.items()}
+    same = {(a, b): len(sets[a] & sets[b] - {None}) for a in sets for b in sets if a < b}
+    sims = {(a, b): n / (len(sets[a]) + len(sets[b]) - n) for (a, b), n in same.items() if n}
+    for least in (0.045, 0.5):
+        for block in (20, 1_000):
+            found = similarity.all_pairs(made, least, block=block)
+            assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+            assert {(r["a"], r["b"]): r["sim"] for r in found.collect()} == {p: x for p, x in sims.items() if x >= least}
+    some = spark.createDataFrame([(*p, x) for p, x in sims.items() if x > 0.2 or x < 0.03], "a string, b string, sim double")
+    told = {r["band"]: (r["n_pairs"], r["n_found"]) for r in similarity.bands_found(made, some).collect()}
+    near = [x for x in sims.values() if x >= 0.045]
+    assert told == {"sim": (sum(x < 0.35 for x in near), sum(0.2 < x < 0.35 for x in near)), "dup": (n := sum(x >= 0.35 for x in near), n)}
