@@ -182,3 +182,20 @@ def test_all_pairs_move_no_pairs(spark):
     told = {r["band"]: (r["n_pairs"], r["n_found"]) for r in similarity.bands_found(made, some).collect()}
     near = [x for x in sims.values() if x >= 0.045]
     assert told == {"sim": (sum(x < 0.35 for x in near), sum(0.2 < x < 0.35 for x in near)), "dup": (n := sum(x >= 0.35 for x in near), n)}
+
+
+def test_similar_pairs_in_passes(spark):
+    """Some sketches at a time, hot bins apart: the pairs of the sketches joined at once, and no join carries sketches."""
+    rng = np.random.RandomState(9)
+    data = [(f"i{k:03}", sorted({*rng.randint(0, 9, 1 + k % 3).tolist(), *rng.randint(9, 10**6, k % 4).tolist()})) for k in range(120)] + [("long", list(range(0, 900, 2))), ("alike", list(range(0, 904, 2)))]
+    made = spark.createDataFrame(data, "image_name string, words array<int>")
+    family, sets = minhash.HashFamily(32, 24, 3), dict(data)
+    weights = bow.word_weights(made)
+    for w, hows in ((None, ({}, {"most_rows": 1_000, "hot_rows": 5})), (weights, ({},))):
+        sigs = minhash.signatures(made, family) if w is None else minhash.weighted_signatures(made, w, family)
+        pairs = {tuple(r) for r in collisions.collision_pairs(minhash.sketches(sigs, family)).collect()}
+        assert ("alike", "long") in pairs
+        for how in hows:
+            found = [tuple(r) for r in collisions.similar_pairs(made, family, w, **how).collect()]
+            assert len(found) == len(pairs) and {r[:2] for r in found} == pairs
+            assert all(sim == len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) for a, b, sim in found)
