@@ -230,3 +230,14 @@ def test_positions(spark):
     left = spark.createDataFrame([(0, "a"), (1, "b")], "pos long, name string")
     right = spark.createDataFrame([(0, "a"), (1, "c"), (2, "d")], "pos long, name string")
     assert sorted(positions.order_mismatches(left, right).collect(), key=lambda r: r[0]) == [(1, "b", "c"), (2, None, "d")]
+
+
+def test_root_form_travels_as_stored(spark):
+    """Vectors are shuffled once, as stored and not as doubles; of differing rows the smallest root form is taken."""
+    from wordmosaic.functions import vectors
+
+    data = [(1, "sift", [4.0] * 128), (1, "sift", [4.0] * 128), (1, "rootsift", [0.5] * 128), (2, "rootsift", [0.25] * 128), (None, "sift", [1.0] * 128)]
+    found = vectors.root_form(spark.createDataFrame(data, "vec_id long, kind string, descriptor array<float>"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_COL" in plan
+    assert [(k, round(v[0], 6)) for k, v in sorted(tuple(r) for r in found.collect())] == [(1, round((4 / 512) ** 0.5, 6)), (2, 0.25)]
